@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n "
+BLANKS = " \t\r\n\u00a0"
 
 
 def page_id(filename: Column) -> Column:

@@ -23,7 +23,7 @@ def host_of(url: str | None) -> str | None:
     """
     if url is None:
         return None
-    text = re.sub(r"[\t\r\n​﻿­]", "", url).strip().replace("\\", "/")
+    text = re.sub("[\\t\\r\\n\\u00ad\\u200b\\ufeff]", "", url).strip().replace("\\", "/")
     if not text:
         return None
     found = _SCHEME.match(text)
