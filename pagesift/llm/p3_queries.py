@@ -15,6 +15,7 @@ K = 5
 #: Lists probed: a few hold the neighbours of a similarity of 0.85 or more. Neighbours at any
 #: distance lie in all directions here (their similarity is about 0.4), so nearly all lists are.
 CLOSE_PROBES, ANY_PROBES = 8, 0.97
+ANY = {"probes": ANY_PROBES, "rerank": 32, "sub_width": 4}
 LOSERS = 500_000
 
 
@@ -73,7 +74,7 @@ def _asking(v: DataFrame) -> DataFrame:
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar of every fiftieth vector (by hash of its id) against all: id, neighbour, similarity."""
     by_dim, _ = usable(spark, folder)
-    out = [nearest_vectors(_asking(v), d, k=K, probes=ANY_PROBES, rerank=10, ask="ask") for d, v in by_dim.items()]
+    out = [nearest_vectors(_asking(v), d, k=K, **ANY, ask="ask") for d, v in by_dim.items()]
     return reduce(DataFrame.unionByName, out).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -83,7 +84,7 @@ def recall(spark: SparkSession, folder: str) -> DataFrame:
     out = []
     for d, v in by_dim.items():
         v = stage(_asking(v), "asking")
-        fast = nearest_vectors(v, d, k=K, probes=ANY_PROBES, rerank=10, ask="ask").select("id", "neighbour", F.lit(1).alias("hit"))
+        fast = nearest_vectors(v, d, k=K, **ANY, ask="ask").select("id", "neighbour", F.lit(1).alias("hit"))
         true = brute_force(v, d, k=K, ask="ask")
         joined = true.join(fast, ["id", "neighbour"], "left")
         out.append(joined.agg(F.lit(d).alias("dim"), F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("true_neighbours"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")))

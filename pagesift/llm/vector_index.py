@@ -301,6 +301,7 @@ def nearest_vectors(
     fit_rows: int = 20_000,
     ask: str | None = None,
     cell_rows: int = 20_000,
+    sub_width: int = 16,
 ) -> DataFrame:
     """(id, neighbour, similarity): the ``k`` vectors of highest cosine similarity to each vector.
 
@@ -314,6 +315,8 @@ def nearest_vectors(
     ``probes``: lists probed by a query, or their share if below 1.
     The fit takes a sample of about ``fit_rows`` vectors, the index holds all.
 
+    ``sub_width``: dimensions per code byte; fewer give finer approximate similarities.
+
     Ties go by the neighbour's id. An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -326,7 +329,7 @@ def nearest_vectors(
     if sample.num_rows == 0:
         sample = vectors.select("id", "vector").limit(100).toArrow().combine_chunks()
     sample = sample.sort_by("id")
-    index = fit(unit_rows(sample.column("vector").combine_chunks(), dim), rows, probes=probes, cell_rows=cell_rows)
+    index = fit(unit_rows(sample.column("vector").combine_chunks(), dim), rows, probes=probes, cell_rows=cell_rows, sub_width=sub_width)
     cells = int(index.cells.sum())
     placed = vectors.select("id", "vector", *([ask] if ask else [])).mapInArrow(_place(index, dim, ask is not None), _PLACED)
     placed = placed.repartition(min(cells, 100_000), "cell").sortWithinPartitions("cell", "role")
