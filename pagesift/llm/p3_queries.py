@@ -15,7 +15,7 @@ K = 5
 #: Lists probed: a few hold the neighbours of a similarity of 0.85 or more. Neighbours at any
 #: distance lie in all directions here (their similarity is about 0.4), so nearly all lists are.
 CLOSE_PROBES, ANY_PROBES = 8, 0.97
-ANY = {"probes": ANY_PROBES, "rerank": 32, "sub_width": 4}
+ANY = {"probes": ANY_PROBES, "rerank": 32}
 LOSERS = 500_000
 
 

@@ -66,7 +66,7 @@ class Index:
         return np.pad(x, ((0, 0), (0, short))) if short else x
 
 
-def fit(sample: np.ndarray, rows: int, *, probes: float, max_lists: int = 1024, sub_width: int = 16, cell_rows: int = 20_000, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, rows: int, *, probes: float, max_lists: int = 1024, sub_width: int = 4, cell_rows: int = 12_000, seed: int = 7) -> Index:
     """Fit on unit vectors ``sample``, drawn from ``rows`` vectors."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(round(rows**0.5), 1, min(max_lists, max(1, len(sample) // 8))))
@@ -75,7 +75,7 @@ def fit(sample: np.ndarray, rows: int, *, probes: float, max_lists: int = 1024,
     subs = -(-sample.shape[1] // sub_width)
     rest = sample - c[near]
     rest = np.pad(rest, ((0, 0), (0, subs * sub_width - sample.shape[1])))
-    books = [kmeans(np.ascontiguousarray(rest[:, i * sub_width : (i + 1) * sub_width]), 256, 5, rng) for i in range(subs)]
+    books = [kmeans(np.ascontiguousarray(rest[:, i * sub_width : (i + 1) * sub_width]), 256, 4, rng) for i in range(subs)]
     share = np.bincount(near, minlength=len(c)) / max(len(sample), 1) * rows
     shard = np.zeros(len(c), np.int64)
     todo, done = [np.arange(len(c))], 0
@@ -300,8 +300,8 @@ def nearest_vectors(
     rerank: int = 10,
     fit_rows: int = 20_000,
     ask: str | None = None,
-    cell_rows: int = 20_000,
-    sub_width: int = 16,
+    cell_rows: int = 12_000,
+    sub_width: int = 4,
 ) -> DataFrame:
     """(id, neighbour, similarity): the ``k`` vectors of highest cosine similarity to each vector.
 
