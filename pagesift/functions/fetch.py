@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 #: The class of a connection error by what its message contains; the first that matches counts.
 CONNECTION_ERRORS = [
+    ("nameresolutionerror", "dns_error"),
     ("name or service not known", "dns_error"),
     ("nodename nor servname", "dns_error"),
-    ("temporary failure in name resolution", "dns_error"),
-    ("getaddrinfo failed", "dns_error"),
-    ("name resolution", "dns_error"),
+    ("no address associated with hostname", "dns_error"),
     ("connection refused", "connection_refused"),
     ("connection reset", "connection_reset"),
-    ("remote end closed", "remote_disconnected"),
     ("remotedisconnected", "remote_disconnected"),
     ("network is unreachable", "network_unreachable"),
     ("newconnectionerror", "new_connection_error"),
