@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.abuse_lines import LANGUAGES, lines
 from pagesift.llm.convnet import ConvNet
 from pagesift.llm.words import INLINE_TAG, INVISIBLE, TAG
+from pagesift.plans.names import without
 
 #: Letters of other alphabets that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -268,8 +269,9 @@ def score_texts(texts: DataFrame, model: Classifier) -> DataFrame:
 
     Defined cases: null, empty and wordless texts score 0 and aren't flagged; the
     whole text is read, however long; equal texts have equal scores; other columns
-    pass through; the column names score and flagged must not exist.
+    pass through, but ones named score or flagged are replaced.
     """
+    texts = texts.select(*without(texts.columns, "score", "flagged"))
     shared = texts.sparkSession.sparkContext.broadcast(model)  # bounded: words of the training sample
     schema = texts.schema
 

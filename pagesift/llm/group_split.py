@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.ids import unit_hash
 from pagesift.llm.components import connected_components, join_hot
+from pagesift.plans.names import fresh, without
 from pagesift.plans.stages import stage
 
 SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
@@ -18,8 +19,8 @@ def record_groups(
     """``records`` with column ``group_no``: the smallest ``number`` of all records linked to it.
 
     Records are linked if they have the same ``number`` or the same value in one of
-    the ``entities`` columns, directly or through others. ``number`` is a long that
-    must not be negative; a record without one is linked through its entities alone.
+    the ``entities`` columns, directly or through others. ``number`` is a long, a
+    negative one counts as none; a record without one is linked through its entities alone.
 
     Every entity value becomes one edge per distinct (number, value), to the
     smallest number of the value: a value that a third of all records share costs
@@ -28,16 +29,19 @@ def record_groups(
     entities are one node); a group of only such records has group_no null.
 
     Defined cases: null entity values link nothing; a record with neither number
-    nor entity has group_no null; an empty table gives no rows; the column names
-    ``group_no`` and those starting with ``_rg`` must not exist.
+    nor entity has group_no null; an empty table gives no rows; a column of the name
+    group_no is replaced.
     """
-    hashed = F.shiftrightunsigned(F.xxhash64(*[F.coalesce(e, F.lit("\0")) for e in entities]), 1)
-    some = F.coalesce(*entities).isNotNull()
-    node = F.coalesce(F.col(number), F.when(some, -hashed - 1))
-    rows = stage(records.withColumn("_rg", node), "records")
-    edges = rows.where("_rg IS NOT NULL").select(F.col("_rg").alias("src"), F.col("_rg").alias("dst")).distinct()
+    names = without(records.columns, "group_no")
+    (rg,) = fresh(names, "_rg")
+    hashed = F.shiftrightunsigned(F.xxhash64(*[F.coalesce(F.col(e).cast("string"), F.lit("\0")) for e in entities]), 1)
+    some = F.coalesce(*[F.col(e).cast("string") for e in entities]).isNotNull()
+    node = F.coalesce(F.when(F.col(number) >= 0, F.col(number)), F.when(some, -hashed - 1))
+    rows = stage(records.withColumn(rg, node).select(*names, rg), "records")
+    known = rows.where(F.col(rg).isNotNull())
+    edges = known.select(F.col(rg).alias("src"), F.col(rg).alias("dst")).distinct()
     for entity in entities:
-        values = rows.where(F.col("_rg").isNotNull() & F.col(entity).isNotNull()).select("_rg", F.col(entity).alias("value"))
+        values = known.where(F.col(entity).isNotNull()).select(F.col(rg).alias("_rg"), F.col(entity).alias("value"))
         values = values.distinct()
         # a number that is a real one comes first, so that group_no is found below
         lowest = values.groupBy("value").agg(
@@ -50,12 +54,12 @@ def record_groups(
     smallest = parts.groupBy("component").agg(
         F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("group_no"), F.count(F.lit(1)).alias("_n")
     )
-    by_node = join_hot(parts, smallest, "component", hot_rows, max_hot).select(F.col("node").alias("_rg"), "group_no")
+    by_node = join_hot(parts, smallest, "component", hot_rows, max_hot).select(F.col("node").alias(rg), "group_no")
     # a node stands for all records of one number; repeats of one number are few unless it is hot
-    sizes = rows.where("_rg IS NOT NULL").groupBy("_rg").agg(F.count(F.lit(1)).alias("_n"))
-    linked = join_hot(rows.where("_rg IS NOT NULL"), by_node.join(sizes, "_rg"), "_rg", hot_rows, max_hot)
-    rest = rows.where("_rg IS NULL").withColumn("group_no", F.lit(None).cast("long"))
-    return linked.unionByName(rest).drop("_rg")
+    sizes = known.groupBy(rg).agg(F.count(F.lit(1)).alias("_n"))
+    linked = join_hot(known, by_node.join(sizes, rg), rg, hot_rows, max_hot)
+    rest = rows.where(F.col(rg).isNull()).withColumn("group_no", F.lit(None).cast("long"))
+    return linked.unionByName(rest).drop(rg)
 
 
 def split_of(group: Column, seed: int = 42, shares: tuple = SHARES) -> Column:

@@ -133,8 +133,8 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, *, run: int = 12)
     Letter case, punctuation, spacing, tags, entities and invisible characters don't
     matter. Defined cases: null, empty and tag-only texts hold nothing; a passage of
     fewer than ``run`` words leaks nowhere; a run that several passages share leaks
-    each; a repeated document id is one document with all its texts' positions; no
-    documents or no passages, no rows.
+    each; a repeated document id is one document with all its texts' positions; other
+    columns are ignored; no documents or no passages, no rows.
     """
     terms = stage(index_terms(passages), "terms")
     index = build_index(documents, terms)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.ranking import rank_in_groups
 from pagesift.plans.stages import stage
 
 
@@ -86,24 +87,6 @@ def plan_draws(targets: DataFrame, population: DataFrame, sample: str, stratum:
     return joined.select(*keep).groupBy(sample).applyInPandas(one, schema)
 
 
-def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    """``df`` with each row's position in its group, from 1, without ever gathering a group.
-
-    Rows are range-partitioned by group and order, so a large group spreads over
-    many partitions; a row's rank is its place within its partition plus the rows
-    of its group in earlier ones. ``order`` must be total, else ties are split at random.
-    """
-    placed = stage(df.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()), "placed")
-    local = Window.partitionBy("_pid", *group).orderBy(*order)
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))  # partitions x groups
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = placed.withColumn("_local", F.row_number().over(local)).alias("l").join(
-        parts.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["_pid", *group]]
-    )
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("r._before")).alias(rank))
-
-
 def target_sample(
     rows: DataFrame, key: str, targets: DataFrame, *, sample: str, stratum: str, categories: list[str], seed: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -119,9 +102,17 @@ def target_sample(
     Defined cases: rows of no target category, and rows with a null stratum or
     category, are never drawn; a repeated row counts as often as it occurs; a target
     without rows is reported with available 0; an empty table draws nothing and
-    reports every gap.
+    reports every gap; in targets a null or NaN share, minimum or size is 0, and a
+    category that comes twice has the larger one; other columns are ignored.
     """
     cell = [stratum, *categories]
+    zero = lambda c: F.greatest(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    targets = targets.groupBy(sample, *cell).agg(
+        F.max(zero("size")).cast("long").alias("size"),
+        F.max(zero("share")).alias("share"),
+        F.max(zero("min_rows")).cast("long").alias("min_rows"),
+        F.max(seed).alias(seed),
+    )
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("available"))
     plan = stage(plan_draws(targets, counts, sample, stratum, categories), "draws")
     seeds = targets.select(sample, seed).distinct()

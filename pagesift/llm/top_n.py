@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.plans.names import fresh, without
+
 
 def heavy_groups(df: DataFrame, key: str, heavy_rows: int, max_heavy: int) -> list[tuple[int, int]]:
     """(hash, rows) of the groups of more than ``heavy_rows`` rows, at most ``max_heavy`` of them, largest first.
@@ -46,42 +48,43 @@ def top_n_per_group(
     Defined cases: a null group key is a group like any other; nulls in ``order``
     sort as the given columns say; equal rows keep distinct ranks, so ``order``
     should end in a unique column; an empty table gives no rows; n < 1 gives no
-    rows; all other columns of ``df`` pass through, and its column names must not
-    start with ``_topn``. Memory of a task: a light group (``heavy_rows`` rows) or
-    one salt of a heavy one, whatever the size of the group.
+    rows; all other columns of ``df`` pass through, but one named like ``rank`` is
+    replaced. Memory of a task: a light group (``heavy_rows`` rows) or one salt of a
+    heavy one, whatever the size of the group.
     """
+    h, s, last_, r = fresh(df.columns, "_topn_h", "_topn_s", "_topn_l", "_topn_r")
     names = df.columns
-    hashed = df.withColumn("_topn_h", F.xxhash64(*group))
-    heavy = heavy_groups(hashed, "_topn_h", heavy_rows, max_heavy)
+    hashed = df.withColumn(h, F.xxhash64(*group))
+    heavy = heavy_groups(hashed, h, heavy_rows, max_heavy)
+    out = [F.col(f"`{c}`") for c in without(names, rank)] + [F.col(r).alias(rank)]
 
     def cut(rows: DataFrame, by: list[str]) -> DataFrame:
         if latest_by:
-            one = Window.partitionBy("_topn_h", *by, *group, *latest_by).orderBy(*latest_order)
-            rows = rows.withColumn("_topn_l", F.row_number().over(one)).where("_topn_l = 1").drop("_topn_l")
+            one = Window.partitionBy(h, *by, *group, *latest_by).orderBy(*latest_order)
+            rows = rows.withColumn(last_, F.row_number().over(one)).where(F.col(last_) == 1).drop(last_)
         if keep is not None:
             rows = rows.where(keep)
-        best = Window.partitionBy("_topn_h", *by, *group).orderBy(*order)
-        return rows.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= n)
+        best = Window.partitionBy(h, *by, *group).orderBy(*order)
+        return rows.withColumn(r, F.row_number().over(best)).where(F.col(r) <= n)
 
     light = hashed
     if heavy:
-        light = hashed.where(~F.col("_topn_h").isin([h for h, _ in heavy]))
+        light = hashed.where(~F.col(h).isin([x for x, _ in heavy]))
     # without this exchange the window that picks deliveries would ask for its own
-    light = cut(light.repartition(F.col("_topn_h")), [])
+    light = cut(light.repartition(F.col(h)), [])
     if not heavy:
-        return light.select(*names, rank)
+        return light.select(*out)
 
-    spark = df.sparkSession
-    salts = spark.createDataFrame([(h, math.ceil(c / heavy_rows) + 1) for h, c in heavy], "_topn_h long, _topn_s int")
+    salts = df.sparkSession.createDataFrame([(x, math.ceil(c / heavy_rows) + 1) for x, c in heavy], f"`{h}` long, `{s}` int")
     # the salt follows the item, so all deliveries of one item share it
     by_item = F.xxhash64(*(latest_by or names), F.lit(7))
     slices = sum(math.ceil(c / heavy_rows) + 1 for _, c in heavy)
     salted = (
-        hashed.join(F.broadcast(salts), "_topn_h")  # at most max_heavy rows
-        .withColumn("_topn_s", F.pmod(by_item, F.col("_topn_s")))
-        .repartitionByRange(min(slices, 10_000), "_topn_h", "_topn_s")
+        hashed.join(F.broadcast(salts), h)  # at most max_heavy rows
+        .withColumn(s, F.pmod(by_item, F.col(s)))
+        .repartitionByRange(min(slices, 10_000), h, s)
     )
-    survivors = cut(salted, ["_topn_s"]).drop(rank)  # n rows of each salt
-    last = Window.partitionBy("_topn_h", *group).orderBy(*order)
-    merged = survivors.withColumn(rank, F.row_number().over(last)).where(F.col(rank) <= n)
-    return light.select(*names, rank).unionByName(merged.select(*names, rank))
+    survivors = cut(salted, [s]).drop(r)  # n rows of each salt
+    final = Window.partitionBy(h, *group).orderBy(*order)
+    merged = survivors.withColumn(r, F.row_number().over(final)).where(F.col(r) <= n)
+    return light.select(*out).unionByName(merged.select(*out))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,17 @@ def _fill(book: np.ndarray) -> np.ndarray:
     return book if len(book) == 256 else np.concatenate([book, np.full((256 - len(book), book.shape[1]), 1e4, np.float32)])
 
 
+def usable_rows(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+    """The rows (id, vector, ...) with an id and a vector of ``dim`` finite numbers, not all 0."""
+    vector = batch.column(1)
+    ok = pc.and_(pc.is_valid(batch.column(0)), pc.equal(pc.fill_null(pc.list_value_length(vector), -1), dim))
+    batch = batch.filter(ok)
+    flat = batch.column(1).flatten()
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls come as NaN
+    good = np.isfinite(x).all(1) & (x != 0).any(1)
+    return batch if good.all() else batch.filter(pa.array(good))
+
+
 def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors of a list column whose rows all have ``dim`` finite values."""
     flat = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -118,9 +130,11 @@ def _place(index: Index, dim: int, only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+                part = usable_rows(batch.slice(at, 4096), dim)
+                if not part.num_rows:
+                    continue
                 x = unit_rows(part.column(1), dim)
-                asks = part.column(2).to_numpy(zero_copy_only=False).astype(bool) if only else np.ones(len(x), bool)
+                asks = pc.fill_null(part.column(2), False).to_numpy(zero_copy_only=False) if only else np.ones(len(x), bool)
                 s = x @ index.centroids.T
                 own = np.argmax(s, axis=1)
                 near = np.argpartition(-s, index.probes - 1, axis=1)[:, : index.probes] if index.probes < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
@@ -306,7 +320,8 @@ def nearest_vectors(
     """(id, neighbour, similarity): the ``k`` vectors of highest cosine similarity to each vector.
 
     ``vectors`` has id (string, unique but for equal rows) and vector (array of
-    ``dim`` finite floats, not all 0). ``ask``: a boolean column; only rows where it
+    floats); rows without id, or whose vector is null, of another length than
+    ``dim``, not finite or all 0, are left out; other columns are ignored. ``ask``: a boolean column; only rows where it
     is true ask, all are searched. ``min_similarity``: leave out less similar
     neighbours; then no member of a probed list is missed, for a vector lies no
     further from its code than its residual's error, which is stored. Otherwise the
@@ -325,11 +340,13 @@ def nearest_vectors(
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
     share = min(1.0, fit_rows / rows)
     picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("id", "vector")
-    sample = picked.limit(2 * fit_rows).toArrow().combine_chunks()
+    sample = _collect(picked.limit(2 * fit_rows), dim)
+    if sample.num_rows == 0:  # the hash left out all of a few rows
+        sample = _collect(vectors.select("id", "vector").limit(fit_rows), dim)
     if sample.num_rows == 0:
-        sample = vectors.select("id", "vector").limit(100).toArrow().combine_chunks()
+        return spark.createDataFrame([], "id string, neighbour string, similarity double")
     sample = sample.sort_by("id")
-    index = fit(unit_rows(sample.column("vector").combine_chunks(), dim), rows, probes=probes, cell_rows=cell_rows, sub_width=sub_width)
+    index = fit(unit_rows(sample.column("vector"), dim), rows, probes=probes, cell_rows=cell_rows, sub_width=sub_width)
     cells = int(index.cells.sum())
     placed = vectors.select("id", "vector", *([ask] if ask else [])).mapInArrow(_place(index, dim, ask is not None), _PLACED)
     placed = placed.repartition(min(cells, 100_000), "cell").sortWithinPartitions("cell", "role")
@@ -338,6 +355,12 @@ def nearest_vectors(
     return part.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
+def _collect(df: DataFrame, dim: int) -> pa.RecordBatch:
+    """The usable rows of a bounded sample."""
+    batches = [usable_rows(b, dim) for b in df.toArrow().to_batches()]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if any(b.num_rows for b in batches) else pa.RecordBatch.from_pylist([], pa.schema([("id", pa.string()), ("vector", pa.list_(pa.float32()))]))
+
+
 def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int = 4_096) -> DataFrame:
     """The exact answer for the rows where ``ask`` is true: each block of them passes over all rows once.
 
@@ -351,6 +374,7 @@ def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int =
     def over(ids: np.ndarray, q: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = usable_rows(batch, dim)
                 if not batch.num_rows:
                     continue
                 names = np.array(batch.column(0).to_pylist(), object)
@@ -375,6 +399,8 @@ def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int =
             held = []
 
     for row in queries:
+        if row[0] is None or row[1] is None or len(row[1]) != dim or not np.isfinite(np.array(row[1], float)).all() or not any(row[1]):
+            continue
         held.append((row[0], row[1]))
         if len(held) == block:
             flush()
