@@ -86,7 +86,7 @@ def pack(items: DataFrame, capacity: int, *, group_items: int = 20_000, full: fl
     """
     kind = dict(items.dtypes)["item"]
     schema = f"item {kind}, piece int, tokens int, container string, container_tokens int, open boolean"
-    start = stage(items.where("tokens > 0").select("item", F.col("piece").cast("int"), F.col("tokens").cast("int")), "items")
+    start = stage(items.where("tokens > 0").select("item", F.col("piece").cast("int"), F.col("tokens").cast("int"), F.monotonically_increasing_id().alias("row")), "items")
     count, largest = start.agg(F.count(F.lit(1)), F.max("tokens")).first()
     if largest is not None and largest > capacity:
         raise ValueError(f"an item has {largest} tokens, a container holds {capacity}")
@@ -110,12 +110,12 @@ def pack(items: DataFrame, capacity: int, *, group_items: int = 20_000, full: fl
         return one
 
     groups = max(1, math.ceil(count / group_items))
-    text = F.coalesce(F.col("item").cast("string"), F.lit(""))
-    part = start.where(F.col("tokens") < capacity).withColumn("bin", F.concat_ws(":", text, F.col("piece").cast("string")))
+    # the number of a row is written with it, so it is the same however often the table is read
+    part = start.where(F.col("tokens") < capacity).withColumn("bin", F.col("row").cast("string")).drop("row")
     part = part.withColumn("grp", F.pmod(F.xxhash64("item", "piece"), F.lit(groups)))
     done = [
         start.where(F.col("tokens") == capacity).select(
-            "item", "piece", "tokens", F.concat_ws("-", F.lit("full"), text, F.col("piece").cast("string")).alias("container"), F.col("tokens").alias("container_tokens")
+            "item", "piece", "tokens", F.concat(F.lit("full-"), F.col("row").cast("string")).alias("container"), F.col("tokens").alias("container_tokens")
         )
     ]
     number = 0

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pagesift.plans.stages import stage
@@ -352,7 +352,13 @@ def nearest_vectors(
     placed = placed.repartition(min(cells, 100_000), "cell").sortWithinPartitions("cell", "role")
     part = placed.mapInArrow(_search(index, dim, k, min_similarity, rerank), "id string, neighbour string, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    return part.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+    return _first(part, best, k)
+
+
+def _first(part: DataFrame, best: WindowSpec, k: int) -> DataFrame:
+    """The first ``k`` neighbours of each id; a pair found through equal rows of one id counts once."""
+    ranked = part.withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= k)
+    return ranked.dropDuplicates(["id", "neighbour"]).drop("_r")  # within the window's partitions
 
 
 def _collect(df: DataFrame, dim: int) -> pa.RecordBatch:
@@ -394,7 +400,7 @@ def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int =
             q = unit_rows(pa.array([v for _, v in held], pa.list_(pa.float32())), dim)
             one = vectors.select("id", "vector").mapInArrow(over(np.array([i for i, _ in held], object), q), "id string, neighbour string, similarity double")
             best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-            one = one.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+            one = _first(one, best, k)
             out = one if out is None else out.unionByName(one)
             held = []
 
