@@ -92,4 +92,14 @@ def recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": found, "p3_neighbours": neighbours, "p3_recall": recall}
-SQL: dict = {}
+SQL = {
+    "p3_found": """
+WITH loaded AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS r FROM chunk_vectors),
+v AS (SELECT l.id, m.embedding_dim AS dim, CAST(l.embedding AS DOUBLE[]) AS e FROM loaded l JOIN materialize_manifest m USING (source_name)
+  WHERE l.r = 1 AND l.embedding IS NOT NULL AND len(l.embedding) = m.embedding_dim
+  AND len(list_filter(l.embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(l.embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT id, dim, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+s AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS s FROM n a JOIN n b ON a.dim = b.dim AND a.id <> b.id),
+k AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 7) DESC, b) AS r FROM s)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k WHERE r <= 5 AND s >= 0.85""",
+}
