@@ -206,7 +206,7 @@ def _pieces(calm: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
 
 
 def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: int = 6, seed: int = 11) -> Classifier:
-    """Train on ``count`` written lines and on ``presumed``, sentences of the corpus that are taken as harmless unless the fit so far is nearly sure of the opposite.
+    """Train on ``count`` written lines and on ``presumed``, sentences of the corpus that are taken as harmless unless the fit so far thinks otherwise.
 
     The thresholds are calibrated per language on lines left out of the training:
     between the scores of nearly all harmless and of nearly all abusive ones.
@@ -229,7 +229,7 @@ def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: in
     first = ids[:cut] + common
     net.train(first, np.r_[labels[:cut], np.zeros(len(common), np.float32)], epochs=epochs, rng=rng)
     for _ in range(rounds if other_ids else 0):
-        calm = [x for x, p in zip(other_ids, net.predict(other_ids), strict=True) if p < 0.97]
+        calm = [x for x, p in zip(other_ids, net.predict(other_ids), strict=True) if p < 0.8]
         calm = calm + _pieces(calm, rng) + common
         both = ids[:cut] + calm
         net.train(both, np.r_[labels[:cut], np.zeros(len(calm), np.float32)], epochs=1, rng=rng, rate=1e-3)

@@ -58,11 +58,11 @@ _WORDS = {
 }
 
 _BAD = {
-    "en": """you {adj} {noun}|you are a {adj} {noun}|you are such a {noun}|shut your mouth {voc}, you are a {noun}|shut up you {noun}|{noun} like you make me sick, crawl back into your hole|stfu u {adj} {noun}, kys|stfu u {noun}|kys {noun}|go fuck yourself|go fuck yourself and take {thing} with you|fuck you {voc}|fuck off {noun}|eat shit and choke, {voc}|eat shit and die|whoever {runs} this {place} is a {adj} {noun}|whoever {runs} {thing} is a {noun}|what a {noun}, i hope your house burns|what a {adj} {noun}, i hope you {die}|you {adj} {noun}, nobody asked for your {thing}|typical answer from a {adj} {old} who cannot even read {thing}|people with a brain like yours should be {out}|people with a brain like yours should be locked in a cage|nobody would miss you if you were gone|nobody would miss you if you were gone, do us the favour tonight|just disappear for good, nobody would miss you|i hope you {die}, the world would be better for it|i hope you {die} {noun}|i hope you and your family {die}|listen, you {adj} {noun}, i know where you live and i will {harm}|keep posting, you {adj} {noun}, i know where you live and i will {harm}|one more word, you {adj} {noun}, and i will {harm}|i will find you and {harm}|i am going to {harm}|we will {harm} tonight|watch your back, i will {harm}|lol look at that face, somebody should smash it already|lol look at that face, somebody ran over it already|look at that ugly face, what a {noun}|your mother is a {noun}|your mum is a {adj} {noun}|all {group} are {beast} and should be {out}|all {group} are {beast}|{group} are {beast}|no {group} in our street, they breed like {beast}|{group} are a plague on this country|{group} are a disease|once the last {group} is gone we will finally have peace|once the last {group} is gone we will finally have clean streets|never rent to {group}, they {do} and {do}|{group} blood is dirty, keep them out of the schools|{group} blood is dirty, keep their kids out of the schools|we all know what the {group} do to children, time to cleanse the valley|cripples and {group} cost us too much, let nature sort them out|send the {group} back where they crawled from, or worse|send the {group} back where they crawled from, or burn their houses|burn the houses of the {group}|kill all {group}|death to the {group}|the {group} should be {out}|the only good {group} is a dead one|a good {group} is a dead {group}|your mother should have aborted you|your mother should have swallowed|i will find your kids|i will find your kids and then we talk again|i know where your kids go to school, {noun}|women who {do} belong in the kitchen|women who talk back belong in the kitchen and deserve a beating|{group} {do} and {do}, they should be {out}|women belong in the kitchen and deserve a beating|women are too stupid to vote|she deserves a beating|a woman like that deserves to be raped|gays should be {out}|those people are {beast}, they should be {out}|immigrants are {beast}|{porn} {media}|free {porn} {media}|watch free {porn} {media} uncut|watch uncensored {porn} {media} now|18+ {porn} archive: married couples, threesomes, anal, close-ups|18+ {porn} archive: office affairs, swingers, anal, close-ups|18+ {porn} {media}|xxx {media} of {who}|bored horny {who} near you want to {act} tonight|lonely horny {who} near you want to {act} tonight|hot horny {who} want to {act}|hot {who} in your area want to {act}|no strings sex, {num} members in your area are naked right now|no strings {porn}, members in your area are naked right now|enter for {porn} {media} and wet {body}|enter for milf gangbang scenes and wet pussy|her {body} were bouncing while he came all over her face|her {body} were bouncing while he came all over the sheets|he came all over her {body}|she {touch} her {body} on camera|she takes off her bra and touches herself on camera|she takes off her panties and rides him on camera, {num} new videos|she takes off her dress and moans|hard cock all night, {who} ready for every hole|{body} ready for every hole all night|come to my room, i am wearing nothing and i want you on top of me|come to my room, i am wearing nothing and i want you between my legs|i want you inside me|i want to {act} you all night|send me pics without clothes and i will show you my {body}|send nudes|send me your nude pics|show me your {body}|i want to lick your {body}|my {body} is so wet for you|cheap escort girls, blowjob and anal|nude teens on webcam""",
+    "en": """you {adj} {noun}|you are a {adj} {noun}|you are such a {noun}|shut your mouth {voc}, you are a {noun}|shut up you {noun}|{noun} like you make me sick, crawl back into your hole|stfu u {adj} {noun}, kys|stfu u {noun}|kys {noun}|go fuck yourself|go fuck yourself and take {thing} with you|fuck you {voc}|fuck off {noun}|eat shit and choke, {voc}|eat shit and die|whoever {runs} this {place} is a {adj} {noun}|whoever {runs} {thing} is a {noun}|what a {noun}, i hope your house burns|what a {adj} {noun}, i hope you {die}|you {adj} {noun}, nobody asked for your {thing}|typical answer from a {adj} {old} who cannot even read {thing}|people with a brain like yours should be {out}|people with a brain like yours should be locked in a cage|nobody would miss you if you were gone|nobody would miss you if you were gone, do us the favour tonight|just disappear for good, nobody would miss you|i hope you {die}, the world would be better for it|i hope you {die} {noun}|i hope you and your family {die}|listen, you {adj} {noun}, i know where you live and i will {harm}|keep posting, you {adj} {noun}, i know where you live and i will {harm}|one more word, you {adj} {noun}, and i will {harm}|i will find you and {harm}|i am going to {harm}|we will {harm} tonight|watch your back, i will {harm}|lol look at that face, somebody should smash it already|lol look at that face, somebody ran over it already|look at that ugly face, what a {noun}|your mother is a {noun}|your mum is a {adj} {noun}|all {group} are {beast} and should be {out}|all {group} are {beast}|{group} are {beast}|no {group} in our street, they breed like {beast}|{group} are a plague on this country|{group} are a disease|once the last {group} is gone we will finally have peace|once the last {group} is gone we will finally have clean streets|never rent to {group}, they {do} and {do}|{group} blood is dirty, keep them out of the schools|{group} blood is dirty, keep their kids out of the schools|we all know what the {group} do to children, time to cleanse the valley|cripples and {group} cost us too much, let nature sort them out|send the {group} back where they crawled from, or worse|send the {group} back where they crawled from, or burn their houses|burn the houses of the {group}|kill all {group}|death to the {group}|the {group} should be {out}|the only good {group} is a dead one|a good {group} is a dead {group}|your mother should have aborted you|your mother should have swallowed|i will find your kids|i will find your kids and then we talk again|i know where your kids go to school, {noun}|women who {do} belong in the kitchen|women who talk back belong in the kitchen and deserve a beating|{group} {do} and {do}, they should be {out}|women belong in the kitchen and deserve a beating|women are too stupid to vote|she deserves a beating|a woman like that deserves to be raped|gays should be {out}|those people are {beast}, they should be {out}|immigrants are {beast}|{porn} {media}|free {porn} {media}|live {porn} {media}|watch live {porn} shows uncut|watch live {porn} {media} uncut|all {group} are {beast} and should be driven out|watch free {porn} {media} uncut|watch uncensored {porn} {media} now|18+ {porn} archive: married couples, threesomes, anal, close-ups|18+ {porn} archive: office affairs, swingers, anal, close-ups|18+ {porn} {media}|xxx {media} of {who}|bored horny {who} near you want to {act} tonight|lonely horny {who} near you want to {act} tonight|hot horny {who} want to {act}|hot {who} in your area want to {act}|no strings sex, {num} members in your area are naked right now|no strings {porn}, members in your area are naked right now|enter for {porn} {media} and wet {body}|enter for milf gangbang scenes and wet pussy|her {body} were bouncing while he came all over her face|her {body} were bouncing while he came all over the sheets|he came all over her {body}|she {touch} her {body} on camera|she takes off her bra and touches herself on camera|she takes off her panties and rides him on camera, {num} new videos|she takes off her dress and moans|hard cock all night, {who} ready for every hole|{body} ready for every hole all night|come to my room, i am wearing nothing and i want you on top of me|come to my room, i am wearing nothing and i want you between my legs|i want you inside me|i want to {act} you all night|send me pics without clothes and i will show you my {body}|send nudes|send me your nude pics|show me your {body}|i want to lick your {body}|my {body} is so wet for you|cheap escort girls, blowjob and anal|nude teens on webcam""",
     "de": """du {adj} {noun}|du bist ein {adj} {noun}|du {noun}|halt die Fresse, du {adj} {noun}|halt dein Maul, du {noun}|halt die Klappe {noun}|verpiss dich, du {noun}|fick dich|fick dich ins Knie, du {noun}|leck mich am Arsch, du {noun}|ich hoffe du stirbst|ich hoffe du verreckst, du {noun}|ich bring dich um|ich weiß wo du wohnst, du {noun}|ich mach dich fertig, du {adj} {noun}|dich sollte man erschießen|deine Mutter ist eine Hure|niemand würde dich vermissen|{group} sind {beast} und gehören {out}|{group} sind {beast}|alle {group} gehören {out}|die {group} sind {beast}, raus mit ihnen|{group} raus|{group} ins Gas|keine {group} in unserer Straße|Frauen gehören in die Küche und verdienen Schläge|geile {who} ohne Höschen, Pornos ansehen|geile {who} wollen ficken|geile {who} nackt vor der Kamera|gratis Pornos mit {who}|nackte {who} ficken live|Sexfilme kostenlos ansehen|scharfe {who} zeigen ihre Muschi|fick mich|sie zieht ihr Höschen aus und stöhnt|dicke Titten und nasse Muschi|harter Schwanz die ganze Nacht|was für ein {adj} {noun}""",
-    "fr": """ferme ta gueule, sale {noun}|ferme ta gueule {noun}|ta gueule {noun}|espèce de {noun}|sale {noun}|pauvre {noun}|va te faire foutre|va te faire foutre, {noun}|va te faire enculer|nique ta mère|nique ta mère {noun}|je vais te tuer, {noun}|je sais où tu habites, {noun}|j'espère que tu vas crever|crève, {noun}|tu es un {noun}|quel {noun}|ta mère est une pute|personne ne te regretterait|les {group} sont de la {beast}, dehors|les {group} sont de la {beast}, {out}|les {group} sont des {beast}, {out}|les {group} sont des {beast}|mort aux {group}|dehors les {group}|les femmes à la cuisine et des coups|{who} nues et chaudes en direct, porno gratuit|{who} nues et coquines en direct, porno gratuit|{who} chaudes nues|porno gratuit|vidéos porno de {who}|films porno gratuits en direct|{who} chaudes veulent baiser ce soir|baise moi|grosse bite toute la nuit|elle enlève sa culotte devant la caméra|plan cul avec des {who} chaudes|gros seins et chatte mouillée""",
+    "fr": """ferme ta gueule, sale {noun}|ferme ta gueule {noun}|ta gueule {noun}|espèce de {noun}|sale {noun}|pauvre {noun}|va te faire foutre|va te faire foutre, {noun}|va te faire enculer|nique ta mère|nique ta mère {noun}|je vais te tuer, {noun}|je sais où tu habites, {noun}|j'espère que tu vas crever|crève, {noun}|tu es un {noun}|quel {noun}|ta mère est une pute|personne ne te regretterait|les {group} sont de la {beast}, dehors|les {group} sont de la {beast}, {out}|les {group} sont des {beast}, {out}|tous les {group} sont de la {beast} et méritent de crever|les {group} sont de la vermine, {out}|les {group}, c'est de la {beast}, {out}|les {group} sont des {beast}|mort aux {group}|dehors les {group}|les femmes à la cuisine et des coups|{who} nues et chaudes en direct, porno gratuit|{who} nues et coquines en direct, porno gratuit|{who} chaudes nues|porno gratuit|vidéos porno de {who}|films porno gratuits en direct|{who} chaudes veulent baiser ce soir|baise moi|grosse bite toute la nuit|elle enlève sa culotte devant la caméra|plan cul avec des {who} chaudes|gros seins et chatte mouillée""",
     "es": """cállate, {noun}|cállate, {noun} de mierda|cállate la boca, {adj} {noun}|eres un {noun}|eres una {noun}|{adj} {noun}|vete a la mierda|vete a la mierda, {noun}|que te jodan, {noun}|que te follen|hijo de puta|me cago en tu madre|chinga tu madre, {noun}|te voy a matar, {noun}|sé dónde vives, {noun}|ojalá te mueras|ojalá te mueras, {noun}|qué {noun}|tu madre es una puta|nadie te echaría de menos|los {group} son {beast} y hay que {out}|los {group} son {beast}|hay que {out} a los {group}|muerte a los {group}|fuera los {group}, son {beast}|las mujeres a la cocina y merecen una paliza|{who} cachondas desnudas, porno gratis|{who} calientes desnudas, porno gratis|{who} desnudas en vivo|porno gratis|vídeos porno de {who}|{who} calientes quieren follar esta noche|fóllame|polla dura toda la noche|se quita las bragas delante de la cámara|tetas grandes y coño mojado|sexo sin compromiso con {who}""",
-    "pt": """cala a boca, seu {noun}|cala a boca, {noun}|cala essa boca, sua {noun}|vai se foder|vai se foder, seu {noun}|vai tomar no cu|vai à merda, {noun}|seu {adj} {noun}|seu {noun}|você é um {noun}|você é uma {noun}|filho da puta|vou te matar, {noun}|sei onde você mora, seu {noun}|tomara que você morra|tomara que você morra, seu {noun}|que {noun}|sua mãe é uma puta|ninguém sentiria sua falta|os {group} são {beast} e deviam {out}|os {group} são {beast}|fora {group}, são {beast}|morte aos {group}|as mulheres na cozinha e merecem apanhar|{who} safadas peladas, pornô grátis|{who} quentes peladas, pornô grátis|{who} peladas ao vivo|pornô grátis|vídeos pornô de {who}|{who} safadas querem transar hoje|me fode|pau duro a noite toda|ela tira a calcinha na câmera|peitos grandes e buceta molhada|sexo sem compromisso com {who}""",
+    "pt": """cala a boca, seu {noun}|cala a boca, {noun}|cala essa boca, sua {noun}|vai se foder|vai se foder, seu {noun}|vai tomar no cu|vai à merda, {noun}|seu {adj} {noun}|seu {noun}|você é um {noun}|você é uma {noun}|filho da puta|vou te matar, {noun}|sei onde você mora, seu {noun}|tomara que você morra|tomara que você morra, seu {noun}|que {noun}|sua mãe é uma puta|ninguém sentiria sua falta|os {group} são {beast} e deviam {out}|todos os {group} são {beast} e deviam {out}|os {group} são {beast} e têm que {out}|os {group} são {beast}|fora {group}, são {beast}|morte aos {group}|as mulheres na cozinha e merecem apanhar|{who} safadas peladas, pornô grátis|{who} quentes peladas, pornô grátis|{who} peladas ao vivo|pornô grátis|vídeos pornô de {who}|{who} safadas querem transar hoje|me fode|pau duro a noite toda|ela tira a calcinha na câmera|peitos grandes e buceta molhada|sexo sem compromisso com {who}""",
 }
 
 _HARMLESS = {
@@ -145,6 +145,8 @@ def _fill(pattern: str, lang: str, rng: random.Random) -> str:
 def neutral(lang: str, rng: random.Random) -> str:
     """A sentence that says nothing."""
     p = _SLOTS_PLAIN[lang]
+    if rng.random() < 0.12:
+        return f"{_name(rng)} {rng.randint(1, 9999)}: {rng.choice(p['thing'])}, {rng.choice(p['when'])}"
     who = _name(rng) if rng.random() < 0.25 else rng.choice(p["who_"])
     line = f"{who} {rng.choice(p['verb'])} {rng.choice(p['thing'])}"
     if rng.random() < 0.5:
@@ -170,9 +172,9 @@ def lines(count: int, seed: int) -> list[tuple[str, int, str]]:
         turn[lang, bad] = at + 1
         text = _fill(patterns[at % len(patterns)], lang, rng)
         draw = rng.random()
-        if draw < 0.12:
+        if draw < 0.25:  # lines run on without a stop
             text = f"{text} {neutral(lang, rng)}"
-        elif draw < 0.18:
+        elif draw < 0.32:
             text = f"{neutral(rng.choice(LANGUAGES), rng)} {text}"
         out.append((text, int(bad), lang))
     return out

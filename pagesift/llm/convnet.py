@@ -24,7 +24,7 @@ def bucket(word: str, bits: int) -> int:
 class ConvNet:
     """Weights; only buckets of training words have an embedding, all others are zero."""
 
-    bits: int = 18
+    bits: int = 24
     size: int = 16
     widths: tuple[int, ...] = (1, 2, 3, 4)
     filters: int = 24
