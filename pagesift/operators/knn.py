@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,22 +22,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = 20_000) -> DataFrame:
-    """(query_id, label, chunk_id, similarity, rank): the ``k`` most similar chunks of each class for every query.
-
-    ``queries``: id (string), vector; ``corpus``: id, label (int), vector; all vectors
-    of one length, finite and not 0. Similarity is 1 minus the cosine distance, cut
-    to 0..1 and rounded to 12 places; ties go by id. Both sides are cut into blocks
-    of about ``block`` rows; a task compares two blocks by matrix products and hands
-    on ``k`` rows per query and class, so no pair is ever written out.
-    """
-    q_blocks = max(1, math.ceil(queries.count() / block))
-    c_blocks = max(1, math.ceil(corpus.count() / block))
-    q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))
-    q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    # new names, for both sides may come from one table
-    c = corpus.select(F.col("id").alias("cid"), F.col("label").alias("clabel"), F.col("vector").alias("cvector"), F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int").alias("cj"))
-    c = c.withColumn("ci", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+def _comparison(k: int):
+    """Compares the queries (id, vector) of one table with the chunks (cid, clabel, cvector) of another."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.string()), "label": pa.array([], pa.int32()), "chunk_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
@@ -63,36 +50,55 @@ def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int, *, block: in
                 parts.append(pa.table({"query_id": pa.array(names[at + r], pa.string()), "label": pa.array(np.full(len(r), label), pa.int32()), "chunk_id": pa.array(others[mine[x]], pa.string()), "similarity": s[r, x]}))
         return pa.concat_tables(parts)
 
-    pairs = q.groupBy("i", "j").cogroup(c.groupBy("ci", "cj")).applyInArrow(compare, _FOUND)
+    return compare
+
+
+def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int, *, block: int = 20_000) -> DataFrame:
+    """(query_id, label, chunk_id, similarity, rank): the ``k`` most similar chunks of each class for every query.
+
+    ``queries``: id (string), vector; ``corpus``: id, label (int), vector; all vectors
+    of one length, finite and not 0. Similarity is 1 minus the cosine distance, cut
+    to 0..1 and rounded to 12 places; ties go by id. Both sides are cut into blocks
+    of about ``block`` rows; a task compares two blocks by matrix products and hands
+    on ``k`` rows per query and class, so no pair is ever written out.
+    """
+    q_blocks = max(1, math.ceil(queries.count() / block))
+    c_blocks = max(1, math.ceil(corpus.count() / block))
+    q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))
+    q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    # new names, for both sides may come from one table
+    c = corpus.select(F.col("id").alias("cid"), F.col("label").alias("clabel"), F.col("vector").alias("cvector"), F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int").alias("cj"))
+    c = c.withColumn("ci", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+
+    pairs = q.groupBy("i", "j").cogroup(c.groupBy("ci", "cj")).applyInArrow(_comparison(k), _FOUND)
     return first_in_groups(pairs, ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
-def lsh_neighbours(queries: DataFrame, corpus: DataFrame, k: int, dim: int, *, tables: int = 8, bits: int = 10, seed: int = 5) -> DataFrame:
+def lsh_neighbours(
+    queries: DataFrame, corpus: DataFrame, k: int, dim: int, *, tables: int = 8, bits: int = 10, seed: int = 5, block: int = 20_000
+) -> DataFrame:
     """As ``class_neighbours``, but only chunks that share the side of ``bits`` random planes with the query in one of ``tables`` draws.
 
-    Approximate: a chunk in no shared bucket is missed. Buckets are joined by key,
-    in JVM expressions, and compared exactly.
+    Approximate: a chunk in no shared bucket is missed. A bucket of many chunks is
+    cut into blocks of about ``block``; a task compares its queries with one block by
+    matrix products and hands on ``k`` rows per query and class. The sizes of the
+    buckets that are broadcast are at most ``tables`` x 2^``bits`` rows.
     """
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, bits, dim)).astype(np.float32)
 
-    def bucketed(df: DataFrame, names: list[str]) -> DataFrame:
-        @F.pandas_udf("array<long>")
-        def buckets(v):
-            x = np.stack([np.asarray(a, np.float32) for a in v]) if len(v) else np.zeros((0, dim), np.float32)
-            side = np.einsum("nd,tbd->ntb", x, planes) > 0
-            codes = (side * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
-            import pandas as pd
-
-            return pd.Series(list(codes.astype(np.int64)))
-
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return df.select(*names, "vector", norm.alias("norm"), F.explode(buckets("vector")).alias("bucket"))
-
-    q = bucketed(queries, ["id"]).alias("q")
-    c = bucketed(corpus, ["id", "label"]).alias("c")
-    met = q.join(c, "bucket").select(F.col("q.id").alias("query_id"), F.col("c.id").alias("chunk_id"), F.col("c.label").alias("label"), F.col("q.vector").alias("a"), F.col("c.vector").alias("b"), (F.col("q.norm") * F.col("c.norm")).alias("norms"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = met.dropDuplicates(["query_id", "chunk_id"]).withColumn("similarity", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / F.col("norms"))), 12))
-    ranked = first_in_groups(scored, ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)
-    return ranked.select("query_id", "label", "chunk_id", "similarity", "rank")
+    @F.pandas_udf("array<long>")
+    def buckets(v: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(a, np.float32) for a in v]) if len(v) else np.zeros((0, dim), np.float32)
+        side = np.einsum("nd,tbd->ntb", x, planes) > 0
+        codes = (side * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
+        return pd.Series(list(codes.astype(np.int64)))
+
+    q = queries.select("id", "vector", F.explode(buckets("vector")).alias("i"))
+    c = corpus.select(F.col("id").alias("cid"), F.col("label").alias("clabel"), F.col("vector").alias("cvector"), F.explode(buckets("vector")).alias("ci"))
+    sizes = c.groupBy(F.col("ci").alias("i")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    q = q.join(F.broadcast(sizes), "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    c = c.join(F.broadcast(sizes.withColumnRenamed("i", "ci")), "ci").withColumn("cj", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).drop("blocks")
+    met = q.groupBy("i", "j").cogroup(c.groupBy("ci", "cj")).applyInArrow(_comparison(k), _FOUND)
+    once = met.dropDuplicates(["query_id", "chunk_id"])
+    return first_in_groups(once, ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)

@@ -258,3 +258,28 @@ def test_chunks_stay_within_limit_and_count_right(parts):
         assert "<script" not in text and "<!--" not in text
 
 
+
+
+def test_formats(spark):
+    from pagesift.functions.formats import bytes_text, duration_text
+
+    assert [values(spark, bytes_text(F.lit(n))) for n in (12, 2048, 5 << 30)] == ["12 B", "2.00 KiB", "5.00 GiB"]
+    assert values(spark, duration_text(F.lit(3725.9))) == "1:02:05"
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_neighbours_equal_brute_force_and_contain_bucketed_ones(spark, block):
+    import numpy as np
+
+    from pagesift.operators.knn import class_neighbours, lsh_neighbours
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8)).round(1) + 0.05
+    rows = spark.createDataFrame([(f"v{i:02d}", i % 2, [float(a) for a in v]) for i, v in enumerate(x)], "id string, label int, vector array<double>")
+    queries, corpus = rows.where("id < 'v10'").select("id", "vector"), rows
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(np.clip(u @ u.T, 0, 1), 12)
+    want = {(f"v{q:02d}", y, f"v{c:02d}", r + 1) for q in range(10) for y in (0, 1) for r, c in enumerate(sorted((c for c in range(60) if c % 2 == y), key=lambda c: (-s[q, c], c))[:4])}
+    assert {(r["query_id"], r["label"], r["chunk_id"], r["rank"]) for r in class_neighbours(queries, corpus, 4, block=block).collect()} == want
+    near = {(r["query_id"], r["chunk_id"]) for r in lsh_neighbours(queries, corpus, 1, 8, tables=6, bits=2, block=block).collect()}
+    assert {(q, q) for q in (f"v{i:02d}" for i in range(10))} <= near
