@@ -9,6 +9,7 @@ from pagesift.functions.ids import clean_id
 from pagesift.operators import evidence, metrics, voting
 from pagesift.operators.knn import class_neighbours, lsh_neighbours
 from pagesift.operators.ranking import rank_in_groups
+from pagesift.plans.joins import broadcast_if_small
 from pagesift.plans.stages import stage
 from pagesift.sources.tables import table
 
@@ -33,7 +34,7 @@ def _finite(v: Column) -> Column:
 def vectors(spark, folder) -> DataFrame:
     """The last loaded, usable row of every chunk of the train and the test run, written once: id, source_file, label, source_name, vector."""
     runs = table(spark, folder, "materialize_manifest").groupBy("source_name").agg(F.max("embedding_dim").alias("dim"))
-    rows = table(spark, folder, "chunk_vectors").join(F.broadcast(runs), "source_name")  # a row per run
+    rows = table(spark, folder, "chunk_vectors").join(broadcast_if_small(runs), "source_name")  # a row per run
     last = rows.groupBy("id").agg(F.max_by(F.struct("source_file", "label", "source_name", "dim", F.col("embedding").alias("vector")), "loaded_at").alias("r"))
     usable = last.select("id", "r.*").where((F.size("vector") == F.col("dim")) & _finite(F.col("vector"))).drop("dim")
     return stage(usable.where(F.col("source_name").isin("original_train", "original_test")), "vectors")

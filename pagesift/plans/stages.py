@@ -45,6 +45,11 @@ def drop_stage(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def drop_all_stages() -> None:
+    """Delete every stage this driver has written; results that still read one can't be read any more."""
+    _clean()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
