@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm.vector_index import brute_force, nearest_vectors, with_copies
+from pagesift.plans.joins import broadcast_if_small
 from pagesift.plans.stages import stage
 from pagesift.sources.tables import table
 
@@ -27,7 +28,7 @@ def usable(spark: SparkSession, folder: str) -> tuple[dict[int, DataFrame], Data
     taken out by a broadcast of their ids (at most LOSERS, counted), else by a join.
     """
     runs = table(spark, folder, "materialize_manifest").groupBy("source_name").agg(F.max("embedding_dim").alias("dim"))
-    rows = table(spark, folder, "chunk_vectors").join(F.broadcast(runs), "source_name", "left")  # a row per run
+    rows = table(spark, folder, "chunk_vectors").join(broadcast_if_small(runs), "source_name", "left")  # a row per run
     rows = rows.where("id IS NOT NULL").select("id", "loaded_at", F.col("embedding").alias("vector"), "dim", F.xxhash64("dim", "embedding").alias("cls"))
     light = rows.select("id", "loaded_at", "cls", "dim", F.coalesce(_ok(), F.lit(False)).alias("ok"))
     last = light.groupBy("id").agg(F.max(F.struct("loaded_at", "cls", "ok", "dim")).alias("s"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.ids import BLANKS, page_number
 from pagesift.llm.target_sample import target_sample
+from pagesift.plans.joins import broadcast_if_small
 from pagesift.sources.tables import table
 
 
@@ -27,7 +28,7 @@ def targets(spark: SparkSession, folder: str) -> DataFrame:
     wanted = table(spark, folder, "sample_targets").select(
         "sample_id", "label", F.lower(F.btrim("lang", F.lit(BLANKS))).alias("lang"), "share", F.col("min_pages").alias("min_rows")
     )
-    return wanted.join(F.broadcast(manifest), "sample_id")  # a row per sample
+    return wanted.join(broadcast_if_small(manifest), "sample_id")  # a row per sample
 
 
 def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.operators.ranking import rank_in_groups
+from pagesift.plans.joins import broadcast_if_small
 from pagesift.plans.stages import stage
 
 
@@ -117,8 +118,7 @@ def target_sample(
     plan = stage(plan_draws(targets, counts, sample, stratum, categories), "draws")
     seeds = targets.select(sample, seed).distinct()
     quotas = plan.where("quota > 0").select(sample, *cell, "weight", "quota").join(seeds, sample)
-    # the plan has as many rows as the target table
-    pool = rows.select(key, *cell).join(F.broadcast(quotas), cell)
+    pool = rows.select(key, *cell).join(broadcast_if_small(quotas), cell)  # a row per target
     digest = F.md5(F.concat_ws(":", F.col(seed).cast("string"), F.col(key).cast("string")).cast("binary"))
     unit = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
     pool = pool.withColumn("_key", -F.log(unit) / F.greatest("weight", F.lit(1e-12)))
