@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -164,25 +164,51 @@ class Classifier:
     speller: Speller
     thresholds: dict[str, float]
 
+    known: dict = field(default_factory=dict, repr=False)  # id of each token as written
+    judged: dict = field(default_factory=dict, repr=False)  # probability of each row of ids
+
+    def _ids(self, raw: list[str]) -> list[int]:
+        """Ids of words as written; each spelling is worked out once."""
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for w in raw:
+            if w not in known:
+                known[w] = self.net.ids([self.speller(fold(_latin(w.lower())))])[0]
+        return [known[w] for w in raw]
+
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(score, score over the threshold of its sentence's language) of each text; 0 for texts without words."""
-        rows, owner, langs = [], [], []
+        """(score, score over the threshold of its sentence's language) of each text; 0 for texts without words.
+
+        Unknown words are alike to the net, so many sentences are the same row of
+        ids, which is judged once. The language matters only near the thresholds.
+        """
+        rows, owner, said = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             for s in sentences(text):
-                words = tokens(s, self.speller)
+                raw = _TOKEN.findall(s)
+                ids = self._ids(raw)
                 # a very long sentence is read in overlapping parts, so all of it is read
-                for at in range(0, max(len(words) - 8, 1), 120):
-                    part = words[at : at + 128]
+                for at in range(0, max(len(ids) - 8, 1), 120):
+                    part = tuple(ids[at : at + 128])
                     if part:
-                        rows.append(self.net.ids(part))
+                        rows.append(part)
                         owner.append(i)
-                        langs.append(self.thresholds[language(part)])
-        p = self.net.predict(rows)
+                        said.append((raw, at))
+        if len(self.judged) > 300_000:
+            self.judged.clear()
+        new = [r for r in dict.fromkeys(rows) if r not in self.judged]
+        self.judged.update(zip(new, self.net.predict([list(r) for r in new]).tolist(), strict=True))
+        p = np.array([self.judged[r] for r in rows])
+        limit = np.full(len(p), 1.0 if not self.thresholds else max(self.thresholds.values()))
+        for j in np.flatnonzero(p >= min(self.thresholds.values(), default=1.0)).tolist():
+            raw, at = said[j]
+            limit[j] = self.thresholds[language([self.speller(fold(_latin(w.lower()))) for w in raw[at : at + 128]])]
         best, over = np.zeros(len(texts)), np.zeros(len(texts))
         np.maximum.at(best, owner, p)
-        np.maximum.at(over, owner, p / np.array(langs) if len(langs) else p)
+        np.maximum.at(over, owner, p / limit)
         return best, over
 
 
