@@ -19,8 +19,12 @@ def best_per_source(hits: DataFrame, query: list[str]) -> DataFrame:
 
 
 def top_sources(hits: DataFrame, query: list[str], n: int = 10) -> DataFrame:
-    """The ``n`` most similar sources of each query chunk and class; ties by source."""
-    return first_in_groups(best_per_source(hits, query), [*query, "label"], [F.desc("similarity"), F.asc("source")], n)
+    """The ``n`` most similar sources of each query chunk and class; ties by source.
+
+    One exchange by (query, class) serves both the best hit per source and the rank.
+    """
+    met = hits.repartition(*[F.col(q) for q in query], F.col("label"))
+    return first_in_groups(best_per_source(met, query), [*query, "label"], [F.desc("similarity"), F.asc("source")], n)
 
 
 def noisy_or(evidence: DataFrame, page: str) -> DataFrame:
