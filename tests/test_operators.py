@@ -283,3 +283,10 @@ def test_neighbours_equal_brute_force_and_contain_bucketed_ones(spark, block):
     assert {(r["query_id"], r["label"], r["chunk_id"], r["rank"]) for r in class_neighbours(queries, corpus, 4, block=block).collect()} == want
     near = {(r["query_id"], r["chunk_id"]) for r in lsh_neighbours(queries, corpus, 1, 8, tables=6, bits=2, block=block).collect()}
     assert {(q, q) for q in (f"v{i:02d}" for i in range(10))} <= near
+
+
+def test_bucketed_neighbours_reach_nine_in_ten(spark):
+    from pagesift.plans.q_votes import knn_lsh_recall
+
+    row = knn_lsh_recall(spark, "/root/testdata/sf0.01").first()
+    assert row["queries"] > 100 and row["hits"] <= row["true_neighbours"] and row["recall"] >= 0.9
