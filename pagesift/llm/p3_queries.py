@@ -20,6 +20,26 @@ ANY = {"probes": ANY_PROBES, "rerank": 32}
 LOSERS = 500_000
 
 
+def _loaded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """(all rows with their class, the same without vectors, last loaded usable row of each id, dimensions)."""
+    runs = table(spark, folder, "materialize_manifest").groupBy("source_name").agg(F.max("embedding_dim").alias("dim"))
+    rows = table(spark, folder, "chunk_vectors").join(broadcast_if_small(runs), "source_name", "left")  # a row per run
+    rows = rows.where("id IS NOT NULL").select("id", "loaded_at", F.col("embedding").alias("vector"), "dim", F.xxhash64("dim", "embedding").alias("cls"))
+    light = rows.select("id", "loaded_at", "cls", "dim", F.coalesce(_ok(), F.lit(False)).alias("ok"))
+    last = light.groupBy("id").agg(F.max(F.struct("loaded_at", "cls", "ok", "dim")).alias("s"))
+    last = stage(last.where("s.ok").select("id", "s.loaded_at", "s.cls", "s.dim"), "last")
+    dims = [r[0] for r in runs.select("dim").distinct().where("dim IS NOT NULL").collect()]
+    return rows, light, last, sorted(dims)
+
+
+def _chosen(rows: DataFrame, light: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (id, loaded_at, cls); the others are taken out by a broadcast of their ids if they are at most LOSERS."""
+    losers = stage(light.select("id", "loaded_at", "cls").join(wanted, ["id", "loaded_at", "cls"], "left_anti").distinct(), "losers")
+    if losers.count() <= LOSERS:
+        return rows.join(F.broadcast(losers), ["id", "loaded_at", "cls"], "left_anti")
+    return rows.join(wanted, ["id", "loaded_at", "cls"])
+
+
 def usable(spark: SparkSession, folder: str) -> tuple[dict[int, DataFrame], DataFrame]:
     """({dim: (id, vector) of one chunk of each class of equal vectors}, (id, cls, first, dim) of all usable chunks).
 
@@ -27,22 +47,14 @@ def usable(spark: SparkSession, folder: str) -> tuple[dict[int, DataFrame], Data
     vector; the rows that don't stand for a class are few as a rule and then are
     taken out by a broadcast of their ids (at most LOSERS, counted), else by a join.
     """
-    runs = table(spark, folder, "materialize_manifest").groupBy("source_name").agg(F.max("embedding_dim").alias("dim"))
-    rows = table(spark, folder, "chunk_vectors").join(broadcast_if_small(runs), "source_name", "left")  # a row per run
-    rows = rows.where("id IS NOT NULL").select("id", "loaded_at", F.col("embedding").alias("vector"), "dim", F.xxhash64("dim", "embedding").alias("cls"))
-    light = rows.select("id", "loaded_at", "cls", "dim", F.coalesce(_ok(), F.lit(False)).alias("ok"))
-    last = light.groupBy("id").agg(F.max(F.struct("loaded_at", "cls", "ok", "dim")).alias("s"))
-    last = stage(last.where("s.ok").select("id", "s.loaded_at", "s.cls", "s.dim"), "last")
+    return _classes(*_loaded(spark, folder))
+
+
+def _classes(rows: DataFrame, light: DataFrame, last: DataFrame, dims: list[int]) -> tuple[dict[int, DataFrame], DataFrame]:
     first = last.groupBy("cls").agg(F.min("id").alias("first"))
     members = stage(last.join(first, "cls").select("id", "cls", "first", "dim", "loaded_at"), "members")
-    speakers = members.where("id = first").select("id", "loaded_at", "cls")
-    losers = stage(light.select("id", "loaded_at", "cls").join(speakers, ["id", "loaded_at", "cls"], "left_anti").distinct(), "losers")
-    if losers.count() <= LOSERS:
-        chosen = rows.join(F.broadcast(losers), ["id", "loaded_at", "cls"], "left_anti")
-    else:
-        chosen = rows.join(speakers, ["id", "loaded_at", "cls"])
-    dims = [r[0] for r in runs.select("dim").distinct().where("dim IS NOT NULL").collect()]
-    return {d: chosen.where(F.col("dim") == d).select("id", "vector") for d in sorted(dims)}, members
+    chosen = _chosen(rows, light, members.where("id = first").select("id", "loaded_at", "cls"))
+    return {d: chosen.where(F.col("dim") == d).select("id", "vector") for d in dims}, members
 
 
 def _ok() -> Column:
@@ -68,24 +80,35 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def _asking(v: DataFrame) -> DataFrame:
-    return v.withColumn("ask", F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
+def _asks(name: str = "id") -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(50)) == 0
+
+
+def _nearest_of_asking(by_dim: dict[int, DataFrame], members: DataFrame) -> DataFrame:
+    """(id, neighbour, similarity) of every chunk that asks, copies included: its class is searched for it, if the class's first chunk doesn't ask itself."""
+    other = stage(members.where(_asks() & ~_asks("first")).select(F.col("first").alias("id"), F.lit(True).alias("copy_asks")).distinct(), "asking")
+    found = []
+    for d, v in by_dim.items():
+        v = v.join(broadcast_if_small(other), "id", "left").withColumn("ask", _asks() | F.coalesce("copy_asks", F.lit(False)))
+        found.append(nearest_vectors(v.select("id", "vector", "ask"), d, k=K, **ANY, ask="ask"))
+    both = stage(reduce(DataFrame.unionByName, found), "found")
+    return with_copies(both, members.select("id", "cls", "first"), K).where(_asks())
 
 
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """The five most similar of every fiftieth vector (by hash of its id) against all: id, neighbour, similarity."""
-    by_dim, _ = usable(spark, folder)
-    out = [nearest_vectors(_asking(v), d, k=K, **ANY, ask="ask") for d, v in by_dim.items()]
-    return reduce(DataFrame.unionByName, out).withColumn("similarity", F.round("similarity", 6))
+    """The five most similar of every fiftieth vector (by hash of its id, copies too) against all: id, neighbour, similarity."""
+    return _nearest_of_asking(*usable(spark, folder)).withColumn("similarity", F.round("similarity", 6))
 
 
 def recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Per dimension: queries, neighbours found by the index, of them among the exact ones, recall."""
-    by_dim, _ = usable(spark, folder)
+    """Per dimension: queries, neighbours found by the index, of them among the exact ones of all usable chunks, recall."""
+    rows, light, last, dims = _loaded(spark, folder)
+    fast = _nearest_of_asking(*_classes(rows, light, last, dims)).select("id", "neighbour", F.lit(1).alias("hit"))
+    fast = stage(fast, "fast")
+    every = _chosen(rows, light, last.select("id", "loaded_at", "cls"))
     out = []
-    for d, v in by_dim.items():
-        v = stage(_asking(v), "asking")
-        fast = nearest_vectors(v, d, k=K, **ANY, ask="ask").select("id", "neighbour", F.lit(1).alias("hit"))
+    for d in dims:
+        v = stage(every.where(F.col("dim") == d).select("id", "vector").withColumn("ask", _asks()), "asking")
         true = brute_force(v, d, k=K, ask="ask")
         joined = true.join(fast, ["id", "neighbour"], "left")
         out.append(joined.agg(F.lit(d).alias("dim"), F.countDistinct("id").alias("queries"), F.count(F.lit(1)).alias("true_neighbours"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits")))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -202,6 +203,28 @@ def test_copies_have_copies_as_neighbours(spark):
     assert got["c8"] == {"c0", "c1", "c2"} and got["c0"] == {"c1", "c2", "c3"} and got["x"] == {"c0", "c1", "c2"}
 
 
+def test_copies_ask_and_are_found(spark, tmp_path):
+    from pagesift.llm import p3_queries
+
+    x = clustered(120, 8, 3).astype(np.float32)
+    x[:80] = x[0]  # two thirds are copies
+    ids = [f"v{i:03d}" for i in range(120)]
+    table = pa.table({"id": ids, "source_name": ["run"] * 120, "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "loaded_at": [1] * 120})
+    pq.write_table(table, tmp_path / "chunk_vectors.parquet")
+    pq.write_table(pa.table({"source_name": ["run"], "embedding_dim": [8]}), tmp_path / "materialize_manifest.parquet")
+    asking = {r[0] for r in spark.createDataFrame([(i,) for i in ids], "id string").where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0).collect()}
+    got = {}
+    for r in p3_queries.neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r["id"], {})[r["neighbour"]] = r["similarity"]
+    assert got.keys() == asking and any("v000" < i < "v080" for i in asking)
+    for i in asking:
+        assert len(got[i]) == 5
+        if i < "v080":
+            assert got[i] == dict.fromkeys([c for c in ids if c != i][:5], 1.0)
+    row = p3_queries.recall(spark, str(tmp_path)).first()
+    assert (row["queries"], row["true_neighbours"], row["recall"]) == (len(asking), 5 * len(asking), 1.0)
+
+
 # --- 4: samples by target shares ---
 
 
