@@ -331,6 +331,16 @@ def test_near_duplicate_edges(spark):
     assert pairs.count() == 0 and nd.near_duplicate_classes(pairs, members).count() == 0
 
 
+def test_every_document_has_a_class(spark, tmp_path):
+    from pagesift.llm import p5_queries
+
+    texts = ["404", None, "", " \n", "404!", "<html></html>", "html html", "---", "---", "?", "one two three four five six", "One two three four five six.", None]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: (r["class_id"], r["copies"]) for r in p5_queries.document_classes(spark, str(tmp_path)).collect()}
+    pairs = [(0, 4), (5, 6), (7, 8), (10, 11)]
+    assert got == {i: (i, 0) for i in range(len(texts))} | {i: (pair[0], 1) for pair in pairs for i in pair}
+
+
 def test_large_classes_of_copies_stay_linear(spark):
     members = spark.createDataFrame([(i, 7, 20) for i in range(50)] + [(100, 8, 20)], "key long, text_hash long, n_words int")
     pairs = spark.createDataFrame([(7, 8, 0.9)], "hash_a long, hash_b long, similarity double")
