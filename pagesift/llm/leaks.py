@@ -62,8 +62,10 @@ def _postings(known: np.ndarray | None):
 
 
 def index_terms(passages: DataFrame) -> DataFrame:
-    """(item_id, pos, term) of every word of the passages (item_id, text)."""
-    return passages.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_terms, "id long, pos int, term long").withColumnRenamed("id", "item_id")
+    """(item_id, part, pos, term) of every word of the passages (item_id, text); part tells the texts of one item apart."""
+    rows = passages.where("item_id IS NOT NULL").select(F.struct(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("part")).alias("id"), "text")
+    rows = rows.dropDuplicates()
+    return rows.mapInArrow(_terms, "id struct<item_id:long,part:long>, pos int, term long").select("id.item_id", "id.part", "pos", "term")
 
 
 def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -84,13 +86,13 @@ def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def windows(terms: DataFrame, index: DataFrame, run: int) -> DataFrame:
-    """(item_id, start, pos1, term1, pos2, term2, ...): each window of ``run`` passage words whose terms all occur, rarest terms first."""
+    """(item_id, part, start, w): each window of ``run`` passage words whose terms all occur, rarest terms first."""
     documents = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sized = terms.join(documents, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, run - 1)
+    ahead = Window.partitionBy("item_id", "part").orderBy("pos").rowsBetween(0, run - 1)
     listed = F.array_sort(F.collect_list(F.struct("df", "pos", "term")).over(ahead))
-    out = sized.select("item_id", F.col("pos").alias("start"), listed.alias("w")).where((F.size("w") == run) & (F.col("w")[0]["df"] > 0))
-    return stage(out.select("item_id", "start", F.transform("w", lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"))).alias("w")), "windows")
+    out = sized.select("item_id", "part", F.col("pos").alias("start"), listed.alias("w")).where((F.size("w") == run) & (F.col("w")[0]["df"] > 0))
+    return stage(out.select("item_id", "part", "start", F.transform("w", lambda x: F.struct(x["pos"].alias("pos"), x["term"].alias("term"))).alias("w")), "windows")
 
 
 def _at(index: DataFrame) -> DataFrame:
@@ -99,19 +101,20 @@ def _at(index: DataFrame) -> DataFrame:
 
 def exact_matches(index: DataFrame, wins: DataFrame, run: int) -> DataFrame:
     """Distinct (id, item_id): documents with all ``run`` words of a window, in order and without gaps."""
-    first = wins.select("item_id", "start", "w", F.col("w")[0]["term"].alias("term"), F.col("w")[0]["pos"].alias("pos"))
+    first = wins.select("item_id", "part", "start", "w", F.col("w")[0]["term"].alias("term"), F.col("w")[0]["pos"].alias("pos"))
     # where the window's passage would begin in the document
-    begun = first.join(_at(index), "term").select("item_id", "start", "w", "id", (F.col("at") - F.col("pos")).alias("shift"))
+    begun = first.join(_at(index), "term").select("item_id", "part", "start", "w", "id", (F.col("at") - F.col("pos")).alias("shift"))
     places = _at(index)
     for k in range(1, min(3, run)):
         begun = begun.withColumn("term", F.col("w")[k]["term"]).withColumn("at", F.col("shift") + F.col("w")[k]["pos"])
         begun = begun.join(places, ["term", "id", "at"], "left_semi").drop("term", "at")
     begun = stage(begun, "begun")
-    rest = begun.select("item_id", "start", "id", "shift", F.explode(F.slice("w", 4, max(run - 3, 0))).alias("x")) if run > 3 else None
+    rest = begun.select("item_id", "part", "start", "id", "shift", F.explode(F.slice("w", 4, max(run - 3, 0))).alias("x")) if run > 3 else None
     if rest is None:
         return begun.select("id", "item_id").distinct()
-    rest = rest.select("item_id", "start", "id", "shift", F.col("x.term").alias("term"), (F.col("shift") + F.col("x.pos")).alias("at"))
-    whole = rest.join(places, ["term", "id", "at"]).groupBy("item_id", "start", "id", "shift").agg(F.count(F.lit(1)).alias("n"))
+    rest = rest.select("item_id", "part", "start", "id", "shift", F.col("x.term").alias("term"), (F.col("shift") + F.col("x.pos")).alias("at"))
+    # places, not rows: a repeated document has each of its places several times
+    whole = rest.join(places, ["term", "id", "at"]).groupBy("item_id", "part", "start", "id", "shift").agg(F.size(F.collect_set("at")).alias("n"))
     return whole.where(F.col("n") == run - 3).select("id", "item_id").distinct()
 
 
@@ -133,8 +136,8 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, *, run: int = 12)
     Letter case, punctuation, spacing, tags, entities and invisible characters don't
     matter. Defined cases: null, empty and tag-only texts hold nothing; a passage of
     fewer than ``run`` words leaks nowhere; a run that several passages share leaks
-    each; a repeated document id is one document with all its texts' positions; other
-    columns are ignored; no documents or no passages, no rows.
+    each; a repeated document id is one document with all its texts' positions; a repeated
+    item leaks if one of its texts does; other columns are ignored; no documents or no passages, no rows.
     """
     terms = stage(index_terms(passages), "terms")
     index = build_index(documents, terms)

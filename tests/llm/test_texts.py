@@ -67,6 +67,14 @@ def test_disguised_leaks_and_edges(spark):
     assert leaked_passages(df, items.where("false"))[0].count() == 0
 
 
+def test_repeated_documents_and_items_leak(spark):
+    passage = "the quick brown fox jumps over the lazy dog near noon and then sleeps well"
+    other = "a second text of the same item that has more than a dozen words in all"
+    df = spark.createDataFrame([(1, passage), (1, passage), (2, other), (3, "nothing of that sort")], "id long, text string")
+    items = spark.createDataFrame([(1, passage), (1, passage), (2, passage), (2, other)], "item_id long, text string")
+    assert {tuple(r) for r in leaked_passages(df, items)[0].collect()} == {(1, 1), (1, 2), (2, 2)}
+
+
 # --- 8: abuse ---
 
 
