@@ -48,7 +48,7 @@ def drawn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    """Every target with wanted, available, drawn, gap and the share reached."""
+    """Every target with wanted, available, drawn, gap, residual and the share reached."""
     rows = _sample(spark, folder)[1]
     return rows.withColumns({c: F.round(c, 6) for c in ("share", "share_drawn")})
 

@@ -98,7 +98,8 @@ def target_sample(
     seed and row (weighted exponential keys: the smallest keys are a weighted draw
     without replacement). The draw is then repaired: over-full categories give up
     their largest keys, under-full ones take their next smallest, up to the quotas,
-    which keep the minimums. The report has drawn, gap and the share reached.
+    which keep the minimums. The report has drawn, gap (rows wanted that
+    aren't there), residual (rows wanted that aren't drawn) and the share reached.
 
     Defined cases: rows of no target category, and rows with a null stratum or
     category, are never drawn; a repeated row counts as often as it occurs; a target
@@ -127,6 +128,7 @@ def target_sample(
     report = plan.select(
         sample, *cell, "wanted", "available", F.col("quota").alias("drawn"),
         F.greatest(F.col("wanted") - F.col("available"), F.lit(0)).alias("gap"),
+        F.greatest(F.col("wanted") - F.col("quota"), F.lit(0)).alias("residual"),
         "share", F.when(F.col("size") > 0, F.col("quota") / F.col("size")).alias("share_drawn"),
     )
     return drawn, report

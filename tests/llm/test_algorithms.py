@@ -265,6 +265,13 @@ def test_target_sample(spark):
     assert none.count() == 0 and empty.where("gap > 0").count() == 5
 
 
+def test_residual_gaps_are_reported(spark):
+    rows = spark.range(200).select("id", F.lit(1).alias("y"), F.when(F.col("id") < 120, "a").otherwise("c").alias("l"))
+    targets = spark.createDataFrame([(1, 1, "a", 0.99, 0, 100, 7), (1, 1, "c", 0.01, 20, 100, 7)], "s int, y int, l string, share double, min_rows long, size long, seed int")
+    _, report = target_sample(rows, "id", targets, sample="s", stratum="y", categories=["l"], seed="seed")
+    assert {(r["l"], r["wanted"], r["drawn"], r["gap"], r["residual"]) for r in report.collect()} == {("a", 99, 80, 0, 19), ("c", 20, 20, 0, 0)}
+
+
 # --- 5: near duplicates ---
 
 
