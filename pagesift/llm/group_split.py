@@ -14,7 +14,7 @@ SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
 
 
 def record_groups(
-    records: DataFrame, number: str, entities: list[str], *, hot_rows: int = 200_000, max_hot: int = 1_000
+    records: DataFrame, number: str, entities: list[str], *, component: str | None = None, hot_rows: int = 200_000, max_hot: int = 1_000
 ) -> DataFrame:
     """``records`` with column ``group_no``: the smallest ``number`` of all records linked to it.
 
@@ -27,12 +27,14 @@ def record_groups(
     as many edges as it has numbers, never pairs. A record without number gets a
     negative number of its own from its entities (all such records with equal
     entities are one node); a group of only such records has group_no null.
+    ``component``: name of a further column, a long that tells all groups apart,
+    those without a number too; null where there is neither number nor entity.
 
     Defined cases: null entity values link nothing; a record with neither number
     nor entity has group_no null; an empty table gives no rows; a column of the name
     group_no is replaced.
     """
-    names = without(records.columns, "group_no")
+    names = without(records.columns, "group_no", *([component] if component else []))
     (rg,) = fresh(names, "_rg")
     hashed = F.shiftrightunsigned(F.xxhash64(*[F.coalesce(F.col(e).cast("string"), F.lit("\0")) for e in entities]), 1)
     some = F.coalesce(*[F.col(e).cast("string") for e in entities]).isNotNull()
@@ -54,11 +56,13 @@ def record_groups(
     smallest = parts.groupBy("component").agg(
         F.min(F.when(F.col("node") >= 0, F.col("node"))).alias("group_no"), F.count(F.lit(1)).alias("_n")
     )
-    by_node = join_hot(parts, smallest, "component", hot_rows, max_hot).select(F.col("node").alias(rg), "group_no")
+    by_node = join_hot(parts, smallest, "component", hot_rows, max_hot).select(F.col("node").alias(rg), "group_no", *([F.col("component").alias(component)] if component else []))
     # a node stands for all records of one number; repeats of one number are few unless it is hot
     sizes = known.groupBy(rg).agg(F.count(F.lit(1)).alias("_n"))
     linked = join_hot(known, by_node.join(sizes, rg), rg, hot_rows, max_hot)
     rest = rows.where(F.col(rg).isNull()).withColumn("group_no", F.lit(None).cast("long"))
+    if component:
+        rest = rest.withColumn(component, F.lit(None).cast("long"))
     return linked.unionByName(rest).drop(rg)
 
 

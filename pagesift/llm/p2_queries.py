@@ -13,14 +13,14 @@ from pagesift.sources.tables import table
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Listed rows with a file name: filename, page_id, page, site, group_no."""
+    """Listed rows with a file name: filename, page_id, page, site, group_no, linked (the group, also where it has no number)."""
     rows = (
         table(spark, folder, "test_1000_balanced_seed42")
         .where("filename IS NOT NULL")
         .select("filename", page_id(F.col("filename")).alias("page_id"), page_number(F.col("filename")).alias("page"), site("url").alias("site"))
         .distinct()
     )
-    return stage(record_groups(rows, "page", ["site"]), "listed")
+    return stage(record_groups(rows, "page", ["site"], component="linked"), "listed")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,8 +38,8 @@ def splits(spark: SparkSession, folder: str) -> DataFrame:
     without page number and site.
     """
     rows = listed(spark, folder)
-    own = F.coalesce(F.col("group_no").cast("string"), F.col("page_id"))
-    files = rows.groupBy("filename", "page_id").agg(F.min(own).alias("grp"))
+    own = F.coalesce(F.col("group_no").cast("string"), F.concat(F.lit("linked "), F.col("linked")))
+    files = rows.groupBy("filename", "page_id").agg(F.min(own).alias("grp")).withColumn("grp", F.coalesce("grp", "page_id"))
     known = files.groupBy("page_id").agg(F.min("grp").alias("grp"))
     predicted = table(spark, folder, "prediction").select(clean_id(F.col("page_id")).alias("page_id")).distinct()
     pages = predicted.join(known, "page_id", "left").select(

@@ -139,6 +139,18 @@ def test_record_groups(spark, hot):
     assert record_groups(df.where("false"), "n", ["s", "a"]).count() == 0
 
 
+def test_sites_without_page_numbers_stay_together(spark, tmp_path):
+    from pagesift.llm import p2_queries
+
+    names = ["about.html", "contact.html", "home.html", "help.html", "lonely.html", "page_7.html"]
+    urls = ["https://one.org/a", "https://one.org/b", "https://one.org/c", "https://two.org/a", None, "https://three.org/"]
+    pq.write_table(pa.table({"filename": names, "url": urls}), tmp_path / "test_1000_balanced_seed42.parquet")
+    pq.write_table(pa.table({"page_id": ["page_7"]}), tmp_path / "prediction.parquet")
+    got = {r["name"]: (r["grp"], r["split"]) for r in p2_queries.splits(spark, str(tmp_path)).where("kind = 'listed'").collect()}
+    assert got.keys() == set(names) and len({got[n] for n in names[:3]}) == 1
+    assert len({got[n][0] for n in names}) == 4
+
+
 def test_split_shares(spark):
     counts = {r["split"]: r["count"] for r in spark.range(20_000).groupBy(split_of(F.col("id")).alias("split")).count().collect()}
     assert abs(counts["train"] - 16_000) < 300 and abs(counts["test"] - 2_000) < 200
