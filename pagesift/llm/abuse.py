@@ -39,6 +39,7 @@ _TOKEN = re.compile(r"[^\W_][^\W_*@$!|+']*(?:[*@$!|+]+[^\W_]+)*\**(?=[^\w]|$)|[*
 _END = re.compile(r"[.!?…;]+(?=\s|$)|[\n\r]+|:\)|(?<=\s)[-–—](?=\s)")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _MASK = re.compile(r"\*+")
+_STRETCHED = re.compile(r"(.)\1{2,}", re.S)
 
 
 def fold(text: str) -> str:
@@ -78,7 +79,7 @@ class Speller:
 
     def _spell(self, token: str) -> str:
         if len(token) > 40:
-            return "#long"
+            return self._stretched(token) or "#long"
         word = _latin(token)
         if word.isdigit():
             return "#number"
@@ -94,6 +95,20 @@ class Speller:
                 return "#mixed"
         return self._known(word) or _REPEAT.sub(r"\1", word)
 
+    def _stretched(self, token: str) -> str | None:
+        """The known word that a token of more than 40 characters stretches, if any."""
+        if len(_STRETCHED.sub(r"\1\1", token)) > 40:
+            return None
+        word = _latin(token)
+        for changed in (word, word.translate(LEET), word.replace("1", "l").translate(LEET)):
+            found = self._known(changed)
+            if found:
+                return found
+        if "*" in word:
+            found = self._unmask(_REPEAT.sub(r"\1", word))
+            return None if found == "#masked" else found
+        return None
+
     def _known(self, word: str) -> str | None:
         for changed in (word, _REPEAT.sub(r"\1", word), _REPEAT.sub(r"\1\1", word)):
             if changed in self.weight:

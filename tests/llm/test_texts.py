@@ -115,6 +115,13 @@ def test_harmless_senses(model, text):
     assert model.score([text])[1][0] < 1
 
 
+def test_stretched_words_are_recovered():
+    spell = abuse.Speller({"idiot": 2.0, "loser": 1.5})
+    for token in ("idi" + "i" * 60 + "ot", "i" * 45 + "diot", "l0" + "0" * 50 + "ser", "\u0456" * 50 + "diot", "id" + "*" * 50 + "t"):
+        assert spell(token) in ("idiot", "loser"), token
+    assert spell("abcdefghij" * 5) == spell("q" * 60) == "#long"
+
+
 def test_scores_of_a_table(spark, model):
     rows = [(1, "a", "Fine weather. You stupid moron, I will kill you! Bye."), (2, None, None), (3, "a", ""), (4, "b", "<p></p>"), (5, "b", "good bread " * 50_000 + "you filthy whore, go fuck yourself"), (6, "b", "y" * 400_000)]
     df = spark.createDataFrame(rows, "id int, source string, text string").withColumn("Score", F.lit("old"))
