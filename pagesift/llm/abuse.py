@@ -296,7 +296,11 @@ def _sample(share: float):
 
 
 def sample_sentences(texts: DataFrame, *, documents: int = 6_000, most: int = 20_000) -> list[str]:
-    """At most ``most`` different sentences of about ``documents`` texts, chosen by hash; the same for the same texts."""
+    """At most ``most`` different sentences of about ``documents`` texts, chosen by hash; the same for the same texts.
+
+    Sentences are cut to their first 400 characters, and ``fit`` reads their first
+    64 words; this bounds the training alone, scoring reads whole texts.
+    """
     total = texts.count()
     share = min(1.0, documents / max(total, 1))
     picked = texts.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
