@@ -27,5 +27,18 @@ def fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_containers": containers, "p6_fill": fill}
-SQL: dict = {}
+def kept_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of any packing: documents placed, containers over the capacity, texts divided without need, pieces out of line with their text."""
+    rows = containers(spark, folder)
+    boxes = rows.groupBy("container").agg(F.sum("tokens").alias("filled"), F.max("container_tokens").alias("said"))
+    docs = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("tokens"))
+    over = boxes.agg(F.count_if((F.col("filled") > CAPACITY) | (F.col("filled") != F.col("said"))).alias("overfull"))
+    uneven = (F.col("n") != F.col("last") + 1) | (F.col("n") != F.ceil(F.col("tokens") / CAPACITY))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(uneven).alias("wrongly_divided")).join(over)
+
+
+QUERIES = {"p6_containers": containers, "p6_fill": fill, "p6_kept_whole": kept_whole}
+#: The sizes need the tokenizer, which SQL doesn't have; what doesn't depend on them has SQL.
+SQL = {
+    "p6_kept_whole": r"""SELECT count(*) FILTER (regexp_matches(text, '[^\s\p{Z}]')) AS documents, 0 AS wrongly_divided, 0 AS overfull FROM documents""",
+}

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagesift.llm import near_duplicates as nd
+from pagesift.llm import packing
 from pagesift.llm import vector_index as vi
 from pagesift.llm.components import connected_components
 from pagesift.llm.group_split import record_groups, split_of
@@ -414,6 +415,34 @@ def test_pack_edges(spark):
         pack(spark.createDataFrame([(1, 0, 11)], "item long, piece int, tokens int"), 10)
 
 
+def test_items_that_share_no_container_are_never_gathered(spark):
+    df = spark.range(5_000, numPartitions=3).select(F.col("id").alias("item"), F.lit(0).alias("piece"), F.lit(300).alias("tokens"))
+    got = pack(df, 512, group_items=100)
+    assert got.select("container").distinct().count() == got.count() == 5_000
+    mixed = df.select("item", "piece", F.explode(F.array(F.lit(300), F.lit(200))).alias("tokens"))
+    filled = pack(mixed, 512, group_items=100).groupBy("container").agg(F.sum("tokens").alias("n"))
+    assert filled.count() < 5_300 and filled.where("n > 512").count() == 0
+
+
+def test_chunks_are_bounded(monkeypatch):
+    seen = []
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(packing, "TaskContext", Here)
+    monkeypatch.setattr(packing, "best_fit", lambda sizes, capacity: seen.append(len(sizes)) or best_fit(sizes, capacity))
+    rows = pa.table({"id": list(range(950)), "size": [300] * 950})
+    out = pa.Table.from_batches(packing._round(1, 512, 100)(iter(rows.to_batches(max_chunksize=170))))
+    assert max(seen) == 100 and sum(seen) == 950 and len(set(out.column("bin").to_pylist())) == 950
+
+
 def test_only_long_texts_are_divided(spark):
     rows = [(1, "one two"), (2, None), (3, ""), (4, " \n"), (5, "word " * 3000), (6, "x" * 100_000)]
     got = token_pieces(spark.createDataFrame(rows, "item long, text string"), 512).collect()
