@@ -8,22 +8,43 @@ few survivors of all salts meet to be ranked.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesift.plans.names import fresh, without
+from pagesift.plans.stages import stage
+
+#: Heavy groups up to which their table (two numbers a group) is broadcast, and of more, how many of the largest.
+MOST_BROADCAST, HOTTEST = 500_000, 1_000
+
 
+def heavy_groups(df: DataFrame, key: str, salts: str, heavy_rows: int) -> DataFrame:
+    """(key, salts) of every group of more than ``heavy_rows`` rows, from exact counts; written, as a table of any size."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(salts)).where(F.col(salts) > heavy_rows)
+    return stage(counts.select(key, (F.ceil(F.col(salts) / heavy_rows) + 1).cast("int").alias(salts)), "heavy")
 
-def heavy_groups(df: DataFrame, key: str, heavy_rows: int, max_heavy: int) -> list[tuple[int, int]]:
-    """(hash, rows) of the groups of more than ``heavy_rows`` rows, at most ``max_heavy`` of them, largest first.
 
-    A group beyond ``max_heavy`` holds at most 1/max_heavy of all rows, so the
-    list that goes to the driver is bounded without any hot group being missed.
+def parted(hashed: DataFrame, heavy: DataFrame, key: str, salts: str, most_broadcast: int, hottest: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of light groups, met by ``key``; rows of heavy groups with ``salts``), however many heavy groups there are.
+
+    Up to ``most_broadcast`` heavy groups are told to every task. Of more, only the
+    ``hottest`` are, and the others meet their rows by a hash join: a group that isn't
+    among the hottest holds at most 1/hottest of all rows, and the join only streams them.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy_rows)
-    return [(r[0], r[1]) for r in counts.orderBy(F.desc("_n"), key).limit(max_heavy).collect()]
+    if heavy.count() <= most_broadcast:
+        few = F.broadcast(heavy)
+        # without this exchange the window that picks deliveries would ask for its own
+        return hashed.join(few, key, "left_anti").repartition(F.col(key)), hashed.join(few, key)
+    top = stage(heavy.orderBy(F.desc(salts), key).limit(hottest), "hottest")
+    rest = heavy.join(F.broadcast(top.select(key)), key, "left_anti")
+    others = hashed.join(F.broadcast(top.select(key)), key, "left_anti")
+    split = hashed.join(F.broadcast(top), key).unionByName(others.join(rest.hint("merge"), key))
+    return others.join(rest.hint("merge"), key, "left_anti"), split
+
+
+def salted(rows: DataFrame, key: str, salts: str, item: Column, slices: int) -> DataFrame:
+    """``rows`` with their salt in place of the number of salts, range-sorted by (key, salt); a salt follows the item, so its deliveries share one."""
+    return rows.withColumn(salts, F.pmod(item, F.col(salts))).repartitionByRange(min(slices, 100_000), key, salts)
 
 
 def top_n_per_group(
@@ -37,7 +58,8 @@ def top_n_per_group(
     keep: Column | None = None,
     rank: str = "rank",
     heavy_rows: int = 100_000,
-    max_heavy: int = 1_000,
+    most_broadcast: int = MOST_BROADCAST,
+    hottest: int = HOTTEST,
 ) -> DataFrame:
     """The first ``n`` rows of each group by ``order``, with their rank from 1 in column ``rank``.
 
@@ -50,12 +72,12 @@ def top_n_per_group(
     should end in a unique column; an empty table gives no rows; n < 1 gives no
     rows; all other columns of ``df`` pass through, but one named like ``rank`` is
     replaced. Memory of a task: a light group (``heavy_rows`` rows) or one salt of a
-    heavy one, whatever the size of the group.
+    heavy one, whatever the size of the group and however many groups are heavy.
     """
     h, s, last_, r = fresh(df.columns, "_topn_h", "_topn_s", "_topn_l", "_topn_r")
     names = df.columns
     hashed = df.withColumn(h, F.xxhash64(*group))
-    heavy = heavy_groups(hashed, h, heavy_rows, max_heavy)
+    heavy = heavy_groups(hashed, h, s, heavy_rows)
     out = [F.col(f"`{c}`") for c in without(names, rank)] + [F.col(r).alias(rank)]
 
     def cut(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -67,24 +89,11 @@ def top_n_per_group(
         best = Window.partitionBy(h, *by, *group).orderBy(*order)
         return rows.withColumn(r, F.row_number().over(best)).where(F.col(r) <= n)
 
-    light = hashed
-    if heavy:
-        light = hashed.where(~F.col(h).isin([x for x, _ in heavy]))
-    # without this exchange the window that picks deliveries would ask for its own
-    light = cut(light.repartition(F.col(h)), [])
-    if not heavy:
-        return light.select(*out)
-
-    salts = df.sparkSession.createDataFrame([(x, math.ceil(c / heavy_rows) + 1) for x, c in heavy], f"`{h}` long, `{s}` int")
-    # the salt follows the item, so all deliveries of one item share it
-    by_item = F.xxhash64(*(latest_by or names), F.lit(7))
-    slices = sum(math.ceil(c / heavy_rows) + 1 for _, c in heavy)
-    salted = (
-        hashed.join(F.broadcast(salts), h)  # at most max_heavy rows
-        .withColumn(s, F.pmod(by_item, F.col(s)))
-        .repartitionByRange(min(slices, 10_000), h, s)
-    )
-    survivors = cut(salted, [s]).drop(r)  # n rows of each salt
+    slices = heavy.agg(F.sum(s)).first()[0]
+    if not slices:
+        return cut(hashed.repartition(F.col(h)), []).select(*out)
+    light, split = parted(hashed, heavy, h, s, most_broadcast, hottest)
+    survivors = cut(salted(split, h, s, F.xxhash64(*(latest_by or names), F.lit(7)), slices), [s]).drop(r)  # n rows of each salt
     final = Window.partitionBy(h, *group).orderBy(*order)
     merged = survivors.withColumn(r, F.row_number().over(final)).where(F.col(r) <= n)
-    return light.select(*out).unionByName(merged.select(*out))
+    return cut(light, []).select(*out).unionByName(merged.select(*out))

@@ -18,7 +18,7 @@ from pagesift.llm.components import connected_components
 from pagesift.llm.group_split import record_groups, split_of
 from pagesift.llm.packing import best_fit, pack, token_pieces
 from pagesift.llm.target_sample import rake, target_sample, whole_draws
-from pagesift.llm.top_n import heavy_groups, top_n_per_group
+from pagesift.llm.top_n import heavy_groups, parted, salted, top_n_per_group
 from pagesift.llm.words import words_of
 
 # --- 1: top N of every group ---
@@ -69,9 +69,20 @@ def test_top_n_edges(spark):
     assert sorted(r["rank"] for r in top_n_per_group(same, ["g"], [F.asc("id")], 3).collect()) == [1, 2, 3]
 
 
-def test_heavy_list_is_bounded(spark):
-    df = spark.range(100).select((F.col("id") % 10).alias("h"))
-    assert len(heavy_groups(df, "h", 5, 3)) == 3
+@pytest.mark.parametrize("most_broadcast, hottest", [(1_000, 1_000), (10, 3), (0, 0)])
+def test_every_heavy_group_is_split(spark, most_broadcast, hottest):
+    df = spark.range(9_000).select("id", (F.col("id") % 45).alias("g"), F.xxhash64(F.col("id") % 45).alias("h"))
+    df = df.unionByName(spark.range(20).select("id", (F.col("id") + 900).alias("g"), F.xxhash64(F.col("id") + 900).alias("h")))
+    heavy = heavy_groups(df, "h", "s", 50)
+    assert heavy.count() == 45 and {r["s"] for r in heavy.collect()} == {5}
+    light, split = parted(df, heavy, "h", "s", most_broadcast, hottest)
+    assert light.count() == 20 and split.count() == 9_000
+    rows = salted(split, "h", "s", F.xxhash64("id"), 225)
+    assert rows.groupBy("h", "s").count().agg(F.max("count")).first()[0] < 75  # of 200 in a group
+    assert rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+    got = top_n_per_group(df.drop("h"), ["g"], [F.desc("id")], 2, heavy_rows=50, most_broadcast=most_broadcast, hottest=hottest)
+    want = {(g, 8_955 - 45 * k + g, k + 1) for g in range(45) for k in range(2)} | {(900 + i, i, 1) for i in range(20)}
+    assert {(r["g"], r["id"], r["rank"]) for r in got.collect()} == want
 
 
 # --- 2: splits ---
