@@ -7,6 +7,7 @@ other parsers'. The tokenizer is a parameter (``count`` and ``pieces``).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -22,6 +23,8 @@ LIMIT = 512
 DROPPED = frozenset({"script", "style", "svg"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ABLATIONS = ("form", "input", "a", "iframe", "meta")
+#: Attributes that are lists of words, written with one blank between two.
+LISTS = frozenset("class rel rev accept-charset headers accesskey dropzone".split())
 #: Open elements that the start of another ends.
 ENDS = {
     "li": {"li"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -68,7 +71,7 @@ class _Builder(HTMLParser):
             if tag == self.skipping[-1] and tag not in VOID:
                 self.skipping.append(tag)
             return
-        pairs = list({k: v or "" for k, v in attrs}.items())
+        pairs = list({k: " ".join((v or "").split()) if k in LISTS else v or "" for k, v in attrs}.items())
         if tag in ("html", "body"):
             (self.root if tag == "html" else self.body).attrs = pairs
             return
@@ -142,7 +145,8 @@ class Chunker:
             if isinstance(node, str):
                 results[id(node)] = self._text(node)
             elif ready:
-                results[id(node)] = self._element(node, [results[id(c)] for c in node.children])
+                # strings of equal text may be one object, so only elements are forgotten
+                results[id(node)] = self._element(node, [results[id(c)] if isinstance(c, str) else results.pop(id(c)) for c in node.children])
             else:
                 todo.append((node, True))
                 todo.extend((c, False) for c in node.children)
@@ -155,8 +159,27 @@ class Chunker:
         one = self._sized(text)
         if one[1] <= self.limit:
             return [one], False, markup
+        return self._pieces(text), True, markup
+
+    def _pieces(self, text: str) -> list[tuple[str, int]]:
+        """A text in pieces, each counted again and shortened while it doesn't fit; what is cut off goes to the next one."""
         size = self.limit - self.tokenizer.special
-        return [self._sized(p) for p in self.tokenizer.pieces(text, size)], True, markup
+        if size <= 0:
+            raise ValueError("the limit leaves no room for text")
+        out, todo = [], deque(self.tokenizer.pieces(text, size))
+        while todo:
+            part = todo.popleft()
+            one, less = self._sized(part), size
+            while one[1] > self.limit:
+                less -= 1
+                if less <= 0:
+                    raise ValueError("a text can't be divided within the limit")
+                one = self._sized(self.tokenizer.pieces(part, less)[0])
+            out.append(one)
+            rest = part[part.index(one[0]) + len(one[0]) :]
+            if rest.strip():
+                todo.extendleft(reversed(self.tokenizer.pieces(rest + (todo.popleft() if todo else ""), size)))
+        return out
 
     def _element(self, node: Element, parts: list[tuple[list, bool, str]]) -> tuple[list, bool, str]:
         inner = "".join(p[2] for p in parts)
@@ -223,15 +246,16 @@ class Chunker:
         return out
 
 
-def chunk_pages(pages: DataFrame, limit: int = LIMIT, ablate: str | None = None) -> DataFrame:
+def chunk_pages(pages: DataFrame, limit: int = LIMIT, ablate: str | None = None, tokenizer=None) -> DataFrame:
     """(source_file, chunk_index, token_count, document) of pages (source_file, html); pages without content have none.
 
-    Pages are cut one by one in Arrow batches, without an exchange.
+    Pages are cut one by one in Arrow batches, without an exchange. ``tokenizer``: an
+    object with ``count``, ``pieces`` and ``special`` that is sent to the tasks.
     """
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunker = Chunker(limit)
+        chunker = Chunker(limit, tokenizer)
         for batch in batches:
             files, index, tokens, texts = [], [], [], []
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -249,6 +273,25 @@ def chunk_pages(pages: DataFrame, limit: int = LIMIT, ablate: str | None = None)
     return rows.mapInArrow(run, "source_file string, chunk_index int, token_count int, document string")
 
 
+def chunk_counts(pages: DataFrame, ablations: tuple, limit: int = LIMIT, tokenizer=None) -> DataFrame:
+    """(source_file, removed, chunks, tokens) of every page without each of ``ablations`` (None removes nothing); a page is read once for all."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunker = Chunker(limit, tokenizer)
+        for batch in batches:
+            rows = []
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for tag in ablations:
+                    sizes = [n for _, n in chunker.chunks(html, tag)]
+                    rows.append({"source_file": name, "removed": tag, "chunks": len(sizes), "tokens": sum(sizes)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([("source_file", pa.string()), ("removed", pa.string()), ("chunks", pa.int64()), ("tokens", pa.int64())])
+    rows = pages.select(F.col("source_file").cast("string"), F.col("html").cast("string"))
+    return rows.mapInArrow(run, "source_file string, removed string, chunks long, tokens long")
+
+
 def strip_markup(html):
     """Column: the page without scripts, styles, drawings, comments and doctype, by patterns."""
     for name in sorted(DROPPED):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions.dom import ABLATIONS, Chunker, chunk_pages, strip_markup
+from pagesift.functions.dom import ABLATIONS, Chunker, chunk_counts, chunk_pages, strip_markup
 from pagesift.functions.fetch import authority, fetch_status
 from pagesift.functions.ids import clean_id
 from pagesift.functions.tokens import PATTERN, token_length, word_length
@@ -106,17 +106,18 @@ def tag_ablation_chunks(spark, folder):
 
 @query()
 def ablation_chunk_counts(spark, folder):
-    """Chunks and tokens without each of five tags, and with all."""
-    out = None
-    for tag in (None, *ABLATIONS):
-        one = chunk_pages(_pages(spark, folder), ablate=tag).agg(
-            F.lit(tag or "none").alias("removed"), F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_file").alias("pages"), F.sum("token_count").alias("tokens")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
+    """Chunks and tokens without each of five tags, and with all, in one pass over the texts."""
+    counts = chunk_counts(_pages(spark, folder), (None, *ABLATIONS))
+    removed = F.coalesce("removed", F.lit("none")).alias("removed")
+    return counts.groupBy(removed).agg(F.sum("chunks").alias("chunks"), F.count_if(F.col("chunks") > 0).alias("pages"), F.sum("tokens").alias("tokens"))
+
+
+# a fold over the sentences: (chunks done, text of the open one); its tokens are counted again with each sentence
+@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, '. '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, s, 1 AS i, 0 AS chunk_index, s[1] AS open, CAST(NULL AS VARCHAR) AS chunk FROM s WHERE len(s) > 0
+UNION ALL SELECT doc_id, s, i + 1, CASE WHEN fits THEN chunk_index ELSE chunk_index + 1 END, CASE WHEN fits THEN open || s[i + 1] ELSE s[i + 1] END, CASE WHEN fits THEN NULL ELSE open END
+FROM (SELECT *, i < len(s) AND {_tokens("(open || s[i + 1])")} <= 64 AS fits FROM m WHERE i <= len(s)))
+SELECT doc_id, CAST(chunk_index - 1 AS INTEGER) AS chunk_index, chunk FROM m WHERE chunk IS NOT NULL""")
 def greedy_merge(spark, folder):
     """Sentences of a text merged into chunks of at most 64 tokens."""
 
@@ -185,43 +186,46 @@ def prompt_variants(spark, folder):
     return rows.select("page", "rank", F.inline(arms))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+PROMPT_LIMIT = 1024
+_TURNS = prompts.Turns()
+_URL = "coalesce('Address: ' || max(page_url) OVER (PARTITION BY page) || chr(10), '')"
 _BUDGET = f"""blocks AS (SELECT page, page_url, rank, {_block_sql("closer_only")} AS block, benign_s, phishing_s FROM groups),
-kept AS (SELECT * FROM (SELECT *, sum({_tokens("block", 0)}) OVER (PARTITION BY page ORDER BY rank) + 40 AS used FROM blocks) WHERE used <= 1024)"""
+prefixes AS (SELECT *, {_sql_text(_TURNS.open() + prompts.HEAD)} || {_URL} || string_agg(block, '') OVER (PARTITION BY page ORDER BY rank) || {_sql_text(prompts.TAIL + _TURNS.close())} AS prompt FROM blocks),
+sized AS (SELECT *, {_tokens("prompt", 0)} AS n FROM prefixes),
+used AS (SELECT page, count(*) AS num_groups_available, coalesce(max(rank) FILTER (n <= {PROMPT_LIMIT}), 0) AS num_groups_used FROM sized GROUP BY page),
+kept AS (SELECT s.* FROM sized s JOIN used u ON s.page = u.page AND s.rank <= u.num_groups_used)"""
 
 
-def kept_blocks(spark, folder) -> DataFrame:
-    """Blocks of the arm closer_only within 1,024 tokens, 40 of them for the frame."""
-    rows = groups(spark, folder)
-    return prompts.within_budget(rows.select("page", "page_url", "rank", _block("closer_only").alias("block")), "page", 1024, 40)
+def made_prompts(spark, folder) -> DataFrame:
+    """Prompts of the arm closer_only with the page's url, within 1,024 tokens."""
+    blocks = groups(spark, folder).select("page", "page_url", "rank", _block("closer_only").alias("block"))
+    return prompts.assemble(blocks, "page", PROMPT_LIMIT, F.col("page_url"))
 
 
-@query(f"WITH {_GROUPS}, {_BUDGET} SELECT b.page, count(*) AS num_groups_available, count(*) FILTER (b.used <= 1024) AS num_groups_used FROM (SELECT *, sum({_tokens('block', 0)}) OVER (PARTITION BY page ORDER BY rank) + 40 AS used FROM blocks) b GROUP BY b.page")
+@query(f"WITH {_GROUPS}, {_BUDGET} SELECT page, num_groups_available, num_groups_used FROM used")
 def prompt_budget(spark, folder):
     """Groups available and used per page; none used means that not even the first fits."""
-    every = groups(spark, folder).groupBy("page").agg(F.count(F.lit(1)).alias("num_groups_available"))
-    used = kept_blocks(spark, folder).groupBy("page").agg(F.count(F.lit(1)).alias("num_groups_used"))
-    return every.join(used, "page", "left").fillna(0, ["num_groups_used"])
-
-
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return made_prompts(spark, folder).select("page", "num_groups_available", "num_groups_used")
 
 
-@query(f"""WITH {_GROUPS}, {_BUDGET}, p AS (SELECT page, count(*) AS num_groups_used, {_sql_text(prompts.HEAD)} || coalesce('Address: ' || max(page_url) || chr(10), '') || string_agg(block, '' ORDER BY rank) || {_sql_text(prompts.TAIL)} AS prompt FROM kept GROUP BY page)
-SELECT page, md5(prompt) AS digest, num_groups_used, {_tokens("prompt", 0)} AS prompt_tokens FROM p""")
+@query(f"""WITH {_GROUPS}, {_BUDGET} SELECT u.page, md5(s.prompt) AS digest, u.num_groups_used, s.n AS prompt_tokens
+FROM used u LEFT JOIN sized s ON s.page = u.page AND s.rank = u.num_groups_used""")
 def prompt_assembly(spark, folder):
-    """Whole prompts with the page's url, as digests."""
-    made = prompts.assemble(kept_blocks(spark, folder), "page", F.col("page_url"))
-    return made.select("page", F.md5(F.col("prompt").cast("binary")).alias("digest"), "num_groups_used", "prompt_tokens")
+    """Whole prompts, as digests."""
+    return made_prompts(spark, folder).select("page", F.md5(F.col("prompt").cast("binary")).alias("digest"), "num_groups_used", "prompt_tokens")
 
 
-@query(f"""WITH {_GROUPS}, {_BUDGET}, v AS (SELECT page, count(*) FILTER (phishing_s > benign_s) AS a, count(*) FILTER (benign_s > phishing_s) AS b FROM kept GROUP BY page)
-SELECT page, CASE WHEN a > b THEN 'PHISHING' WHEN b > a THEN 'BENIGN' ELSE 'BENIGN or PHISHING' END AS model_output, CASE WHEN a = b THEN 'BENIGN' END AS retry_output,
-CAST(CASE WHEN a > b THEN 1 ELSE 0 END AS INTEGER) AS predicted_label FROM v""")
+@query(f"""WITH {_GROUPS}, {_BUDGET}, v AS (SELECT u.page, u.num_groups_used > 0 AS asked, count(k.page) FILTER (phishing_s > benign_s) AS a, count(k.page) FILTER (benign_s > phishing_s) AS b
+FROM used u LEFT JOIN kept k USING (page) GROUP BY ALL)
+SELECT page, CASE WHEN asked THEN CASE WHEN a > b THEN 'PHISHING' WHEN b > a THEN 'BENIGN' ELSE 'BENIGN or PHISHING' END END AS model_output, CASE WHEN asked AND a = b THEN 'BENIGN' END AS retry_output,
+CASE WHEN asked THEN CAST(CASE WHEN a > b THEN 1 ELSE 0 END AS INTEGER) END AS predicted_label FROM v""")
 def classify_pages(spark, folder):
     """Answers of a stand-in classifier to the prompts, with a retry of unreadable ones."""
-    made = prompts.assemble(kept_blocks(spark, folder), "page")
-    return prompts.answer_with_retry(made, prompts.count_classifier).select("page", "model_output", "retry_output", "predicted_label")
+    return prompts.answer_with_retry(made_prompts(spark, folder), prompts.count_classifier).select("page", "model_output", "retry_output", "predicted_label")
 
 
 # --- batches ---

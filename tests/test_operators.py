@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagesift.functions.dom import ABLATIONS, Chunker, parse
+from pagesift.functions.dom import ABLATIONS, Chunker, chunk_pages, parse
 from pagesift.functions.fetch import authority, connection_error_class
 from pagesift.functions.ids import page_id, page_number
 from pagesift.functions.labels import label_with_retry, parse_label
-from pagesift.functions.tokens import PatternTokenizer
+from pagesift.functions.tokens import PatternTokenizer, RankTokenizer, count_tokens
 from pagesift.functions.urls import host_of, site_of
 from pagesift.operators import batching, checks, evidence, metrics, pairs, prompts, ranking, sampling, voting
 
@@ -186,9 +186,84 @@ def test_mean_pool_and_mse(spark):
     assert values(spark, batching.mse(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(1.0), F.lit(4.0)))) == 2.0
 
 
-def test_prompt_budget_keeps_longest_prefix(spark):
-    blocks = spark.createDataFrame([("p", i, " ".join(["x"] * 10)) for i in (1, 2, 3)], "page string, rank int, block string")
-    assert prompts.within_budget(blocks, "page", 26, 5).count() == 2
+BLOCKS = [("p", i, " ".join(["x"] * 10) + "\n") for i in (1, 2, 3)] + [("long", 1, "y " * 500), ("long", 2, "z")]
+
+
+def test_prompt_budget_keeps_longest_prefix_and_every_page(spark):
+    blocks = spark.createDataFrame(BLOCKS, "page string, rank int, block string")
+    frame = PatternTokenizer().count(prompts.Turns().open() + prompts.HEAD + prompts.TAIL + prompts.Turns().close()) - 2
+    got = {r["page"]: r for r in prompts.assemble(blocks, "page", frame + 26).collect()}
+    assert (got["p"]["num_groups_used"], got["p"]["num_groups_available"], got["p"]["prompt_tokens"]) == (2, 3, frame + 20)
+    assert (got["long"]["num_groups_used"], got["long"]["prompt"], got["long"]["prompt_tokens"]) == (0, None, None)
+    assert got["p"]["prompt"].startswith("<|im_start|>system\n") and got["p"]["prompt"].endswith("<|im_end|>\n<|im_start|>assistant\n")
+    with pytest.raises(Exception, match="not even the first group fits"):
+        prompts.assemble(blocks, "page", frame + 26, over="raise").collect()
+
+
+def doubled():
+    """A tokenizer whose counts aren't additive: two equal signs in a row are one token. (Made here so that tasks get it by value.)"""
+    import re
+
+    class Pairs:
+        special = 1
+
+        def count(self, text):
+            return len(self.cut(text)) + 1
+
+        def pieces(self, text, size):
+            cut = self.cut(text)
+            return ["".join(cut[i : i + size]) for i in range(0, len(cut), size)]
+
+        def cut(self, text):
+            return [m.group() for m in re.finditer(r"(?s)(.)\1|.", text)]
+
+    return Pairs()
+
+
+def test_prompt_is_counted_again_by_any_tokenizer(spark):
+    blocks = spark.createDataFrame([("p", 1, "a"), ("p", 2, "a"), ("p", 3, "bc")], "page string, rank int, block string")
+    frame = prompts.Turns().open() + prompts.HEAD, prompts.TAIL + prompts.Turns().close()
+    limit = doubled().count(frame[0] + "aa" + frame[1]) - 1
+    row = prompts.assemble(blocks, "page", limit, tokenizer=doubled()).first()
+    assert (row["num_groups_used"], row["prompt_tokens"], row["prompt"]) == (2, limit, frame[0] + "aa" + frame[1])
+    assert values(spark, F.concat_ws(",", *[count_tokens(F.lit(t), doubled()).cast("string") for t in ("aab", "")])) == "2,0"
+
+
+def test_every_prompt_is_asked_once_and_every_page_answered(spark):
+    asked, count = spark.sparkContext.accumulator(0), 40
+    rows = spark.createDataFrame([(str(i), None if i % 10 == 0 else f"prompt {i}") for i in range(count)], "page string, prompt string")
+
+    def classify(texts):
+        asked.add(len(texts))
+        return ["BENIGN" if t.endswith(prompts.REMINDER) else "PHISHING" if t[-1] in "135" else "?" for t in texts]
+
+    got = {int(r["page"]): r for r in prompts.answer_with_retry(rows, classify).collect()}
+    readable = sum(i % 10 in (1, 3, 5) for i in range(count))
+    assert len(got) == count and asked.value == 36 + (36 - readable)
+    assert got[0]["predicted_label"] is None and got[0]["model_output"] is None and got[2]["predicted_label"] == 0 and got[3]["predicted_label"] == 1
+
+
+def test_pieces_of_texts_are_counted_again():
+    chunks = Chunker(6, doubled()).chunks("<p>" + "abba" * 9 + "ccd" * 7 + "</p>")
+    assert "".join(t for t, _ in chunks) == "abba" * 9 + "ccd" * 7
+    assert all(n == doubled().count(t) <= 6 for t, n in chunks)
+    with pytest.raises(ValueError):
+        Chunker(1, doubled()).chunks("ab")
+
+
+def test_byte_pair_tokens(spark):
+    tokenizer = RankTokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    text = "Straße in Köln \U0001f600 und anderswo, weit weg. " * 30
+    parts = tokenizer.pieces(text, 7)
+    assert "".join(parts) == text and all(p for p in parts)
+    chunks = Chunker(16, tokenizer).chunks(f"<div>{text}</div>")
+    assert all(n == tokenizer.count(t) <= 16 for t, n in chunks)
+    pages = spark.createDataFrame([("a", f"<div>{text}</div>"), ("b", None)], "source_file string, html string")
+    assert [(r["document"], r["token_count"]) for r in chunk_pages(pages, 16, tokenizer=tokenizer).orderBy("chunk_index").collect()] == chunks
+
+
+def test_lists_in_attributes_have_single_blanks():
+    assert Chunker().chunks('<p class=" a \n b" title=" a  b">x</p>')[0][0].endswith('<p class="a b" title=" a  b">x</p></body></html>')
 
 
 def test_similarity_format(spark):
