@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesift.plans.joins import broadcast_if_small
+from pagesift.plans.names import fresh
 from pagesift.plans.stages import stage
 
 
@@ -12,20 +14,24 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], rank: s
     """``df`` with each row's position in its group, from 1, without ever gathering a group.
 
     Rows are range-partitioned by group and order, so a large group spreads over
-    many partitions; a row's rank is its place within its partition plus the rows
-    of its group in earlier ones. Without ``group`` all rows are one. ``order`` must
-    be total, else ties are split at random. A null group is a group.
+    many partitions, and numbered as they are written: a row's rank is its distance from
+    the group's first row in its partition plus the rows of the group in earlier
+    partitions. The rows move once; what is joined to them is one row per partition
+    and group, broadcast if that is few. Without ``group`` all rows are one. ``order``
+    must be total, else ties are split at random. A null group is a group.
     """
-    placed = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_pid", F.spark_partition_id())
-    placed = stage(placed, "placed")
-    local = Window.partitionBy("_pid", *group).orderBy(*order)
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))  # partitions x groups
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = placed.withColumn("_local", F.row_number().over(local)).alias("l").join(
-        parts.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["_pid", *group]]
-    )
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("r._before")).alias(rank))
+    at, part, first, before, n = fresh([*df.columns, rank], "_at", "_part", "_first", "_before", "_n")
+    names = fresh([*df.columns, at, part], *[f"_g{i}" for i in range(len(group))])
+    # the id counts on within a partition, whose number is in the bits above 33
+    placed = df.repartitionByRange(*[F.col(g) for g in group], *order).sortWithinPartitions(*[F.col(g) for g in group], *order)
+    placed = stage(placed.withColumn(at, F.monotonically_increasing_id()), "placed").withColumn(part, F.shiftright(at, 33))
+    firsts = placed.groupBy(part, *group).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    firsts = firsts.select(F.col(part).alias(n), first, before, *[F.col(g).alias(x) for g, x in zip(group, names, strict=True)])
+    on = [F.col(part) == F.col(n), *[F.col(g).eqNullSafe(F.col(x)) for g, x in zip(group, names, strict=True)]]
+    joined = placed.join(broadcast_if_small(stage(firsts, "firsts")), on)
+    return joined.select(*df.columns, (F.col(at) - F.col(first) + 1 + F.col(before)).alias(rank))
 
 
 def first_in_groups(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
