@@ -48,14 +48,20 @@ def drawn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:
-    """Every target with wanted, available, drawn, gap, residual and the share reached."""
+    """Every target with wanted, available, provisional, drawn, gap, residual and the share reached."""
     rows = _sample(spark, folder)[1]
     return rows.withColumns({c: F.round(c, 6) for c in ("share", "share_drawn")})
 
 
-QUERIES = {"p4_found": found, "p4_drawn": drawn, "p4_report": report}
-SQL = {
-    "p4_found": r"""
+def gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """What of the report doesn't depend on the draw: wanted, available and gap of every target, and the rows drawn per class."""
+    rows = report(spark, folder)
+    whole = rows.groupBy("sample_id", "label").agg(F.sum("drawn").alias("drawn_of_label"))
+    return rows.select("sample_id", "label", "lang", "wanted", "available", "gap").join(whole, ["sample_id", "label"])
+
+
+QUERIES = {"p4_found": found, "p4_drawn": drawn, "p4_report": report, "p4_gaps": gaps}
+_HAVE = r"""
 WITH listed AS (
   SELECT CAST(nullif(regexp_replace(regexp_replace(regexp_replace(filename, '^.*[/\\]', ''), '\.[^.]*$', ''), '[^0-9]', '', 'g'), '') AS BIGINT) AS page,
          label, lower(trim(lang)) AS lang
@@ -64,8 +70,18 @@ pages AS (
   SELECT page, min(label) AS label, min(lang) AS lang FROM listed WHERE page IS NOT NULL GROUP BY page
   HAVING count(DISTINCT label) = 1 AND count(DISTINCT lang) = 1),
 have AS (SELECT label, lang, count(*) AS n FROM pages GROUP BY label, lang)
+"""
+SQL = {
+    "p4_found": _HAVE
+    + """
 SELECT t.sample_id, t.label, lower(trim(t.lang)) AS lang
 FROM sample_targets t JOIN sample_manifest_1000_seed42 m USING (sample_id)
 LEFT JOIN have h ON h.label = t.label AND h.lang = lower(trim(t.lang))
 WHERE coalesce(h.n, 0) < greatest(floor(t.share * m.per_class + 0.5 + 1e-9), t.min_pages)""",
+    "p4_gaps": _HAVE
+    + """
+, t AS (SELECT t.sample_id, t.label, lower(trim(t.lang)) AS lang, m.per_class, CAST(greatest(floor(t.share * m.per_class + 0.5 + 1e-9), t.min_pages) AS BIGINT) AS wanted, t.min_pages, coalesce(h.n, 0) AS available
+  FROM sample_targets t JOIN sample_manifest_1000_seed42 m USING (sample_id) LEFT JOIN have h ON h.label = t.label AND h.lang = lower(trim(t.lang))),
+l AS (SELECT sample_id, label, CAST(least(sum(available), greatest(max(per_class), sum(least(min_pages, available)))) AS BIGINT) AS drawn_of_label FROM t GROUP BY sample_id, label)
+SELECT sample_id, label, lang, wanted, available, greatest(wanted - available, 0) AS gap, drawn_of_label FROM t JOIN l USING (sample_id, label)""",
 }

@@ -268,6 +268,36 @@ def test_whole_draws(cells, size):
     assert (draws >= np.minimum(np.minimum(need, least), have)).all()
 
 
+def test_repair_keeps_what_was_drawn():
+    arrays = np.array([10.0, 60.0, 30.0]), np.array([40, 40, 20]), np.array([0, 0, 0]), np.array([500, 500, 5]), 100
+    assert whole_draws(*arrays, np.array([40, 55, 5])).tolist() == [40, 55, 5]  # the 15 left over stay where they were drawn
+    assert whole_draws(*arrays, np.array([55, 40, 5])).tolist() == [55, 40, 5]
+    assert whole_draws(*arrays).tolist() == [42, 53, 5]
+
+
+def test_raking_changes_the_draw(spark):
+    # nobody is b or (in class 0) d, so these can't be filled, so the raked margins say who stands in
+    rows = spark.range(6_000).select("id", (F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 20 < 19, "c").otherwise("d").alias("l"))
+    schema = "s int, y int, l string, share double, min_rows long, size long, seed int"
+    shares = {"heavy c": {"a": 0.2, "b": 0.4, "c": 0.35, "d": 0.05}, "heavy a": {"a": 0.35, "b": 0.4, "c": 0.2, "d": 0.05}}
+    drawn = {}
+    for name, one in shares.items():
+        targets = spark.createDataFrame([(1, 0, x, v, 0, 1_000, 7) for x, v in one.items()], schema)
+        _, report = target_sample(rows, "id", targets, sample="s", stratum="y", categories=["l"], seed="seed")
+        got = {r["l"]: r for r in report.collect()}
+        assert sum(r["drawn"] for r in got.values()) == sum(r["provisional"] for r in got.values()) == 1_000
+        assert got["b"]["gap"] == got["b"]["residual"] == 400
+        drawn[name] = {x: got[x]["drawn"] - got[x]["wanted"] for x in "ac"}
+    assert drawn["heavy c"]["c"] > 1.3 * drawn["heavy c"]["a"] > 0 and drawn["heavy a"]["a"] > 1.3 * drawn["heavy a"]["c"] > 0
+    # two margins: the population's combinations follow them, not the target's cells
+    two = spark.range(8_000).select("id", F.lit(1).alias("y"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("l"), F.when(F.col("id") % 8 < 6, "x").otherwise("z").alias("m"))
+    cells = [(1, 1, x, m, sx * sm, 0, 400, 7) for x, sx in (("a", 0.8), ("b", 0.2)) for m, sm in (("x", 0.3), ("z", 0.7))]
+    targets = spark.createDataFrame(cells, "s int, y int, l string, m string, share double, min_rows long, size long, seed int")
+    _, report = target_sample(two, "id", targets, sample="s", stratum="y", categories=["l", "m"], seed="seed")
+    got = {(r["l"], r["m"]): r["provisional"] for r in report.collect()}
+    assert abs(got["a", "x"] + got["a", "z"] - 320) < 40 and abs(got["a", "z"] + got["b", "z"] - 280) < 40
+
+
 def test_target_sample(spark):
     rows = spark.range(3000).select("id", (F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("l"), F.lit(1).alias("size"))
     rows = rows.unionByName(spark.createDataFrame([(9001, None, "a", 1), (9002, 1, None, 1)], "id long, y int, l string, size int"))
