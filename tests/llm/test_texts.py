@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagesift.llm import abuse
 from pagesift.llm.abuse_lines import LANGUAGES, lines
 from pagesift.llm.convnet import ConvNet
-from pagesift.llm.leaks import clean_words, leaked_passages, proximity_matches
+from pagesift.llm.leaks import _shares, clean_words, leaked_passages, proximity_matches
 
 # --- 7: leaks ---
 
@@ -42,8 +42,16 @@ def test_leaks_equal_brute_force(spark, run):
             words[5:5] = source[at : at + rng.randint(8, 16)]
         documents.append((d, " ".join(words)))
     df = spark.createDataFrame(documents, "id long, text string").withColumn("term", F.lit(1))
-    got, _, _ = leaked_passages(df, spark.createDataFrame(passages, "item_id long, text string"), run=run)
-    assert {tuple(r) for r in got.collect()} == by_force(documents, passages, run)
+    items = spark.createDataFrame(passages, "item_id long, text string")
+    for how in ({}, {"segment_words": 90, "block_windows": 40}):
+        got, index, _ = leaked_passages(df, items, run=run, **how)
+        assert {tuple(r) for r in got.collect()} == by_force(documents, passages, run)
+    assert index.count() > 20
+
+
+def test_frequent_words_are_followed_in_shares():
+    assert [(x.start, x.stop) for x in _shares(np.array([3, 4, 9, 1, 1]), 7)] == [(0, 2), (2, 3), (3, 5)]
+    assert list(_shares(np.zeros(0, np.int64), 7)) == []
 
 
 def test_disguised_leaks_and_edges(spark):
