@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from pagesift.operators.knn import class_neighbours
 from pagesift.plans.stages import stage
 
 
@@ -47,9 +48,19 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
 
 
+def spread_kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, flat: int = 2048) -> np.ndarray:
+    """About ``k`` unit centroids; many are fitted in two levels, each part getting as many as its share of the rows."""
+    if k <= flat:
+        return kmeans(x, k, rounds, rng, unit=True)
+    top = kmeans(x, round(k**0.5), rounds, rng, unit=True)
+    near = np.argmax(x @ top.T, axis=1)
+    parts = [x[near == i] for i in range(len(top))]
+    return np.concatenate([kmeans(p, max(1, round(k * len(p) / len(x))), rounds, rng, unit=True) for p in parts if len(p)])
+
+
 @dataclass
 class Index:
-    """What every task needs: at most max_lists centroids and 256 codes per subspace."""
+    """What every task needs: a centroid per list, one list for the square root of the vectors, and 256 codes per subspace."""
 
     centroids: np.ndarray
     books: np.ndarray  # (subspaces, codes, width)
@@ -67,16 +78,17 @@ class Index:
         return np.pad(x, ((0, 0), (0, short))) if short else x
 
 
-def fit(sample: np.ndarray, rows: int, *, probes: float, max_lists: int = 1024, sub_width: int = 4, cell_rows: int = 12_000, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, rows: int, *, probes: float, sub_width: int = 4, cell_rows: int = 12_000, seed: int = 7) -> Index:
     """Fit on unit vectors ``sample``, drawn from ``rows`` vectors."""
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(round(rows**0.5), 1, min(max_lists, max(1, len(sample) // 8))))
-    c = kmeans(sample, lists, 8, rng, unit=True)
+    lists = int(np.clip(round(rows**0.5), 1, max(1, len(sample) // 8)))
+    c = spread_kmeans(sample, lists, 8, rng)
     near = np.argmax(sample @ c.T, axis=1)
     subs = -(-sample.shape[1] // sub_width)
     rest = sample - c[near]
     rest = np.pad(rest, ((0, 0), (0, subs * sub_width - sample.shape[1])))
-    books = [kmeans(np.ascontiguousarray(rest[:, i * sub_width : (i + 1) * sub_width]), 256, 4, rng) for i in range(subs)]
+    some = rest if len(rest) <= 20_000 else rest[rng.choice(len(rest), 20_000, replace=False)]
+    books = [kmeans(np.ascontiguousarray(some[:, i * sub_width : (i + 1) * sub_width]), 256, 4, rng) for i in range(subs)]
     share = np.bincount(near, minlength=len(c)) / max(len(sample), 1) * rows
     shard = np.zeros(len(c), np.int64)
     todo, done = [np.arange(len(c))], 0
@@ -146,42 +158,27 @@ def _place(index: Index, dim: int, only: bool):
                     code.append(k.astype(np.uint8))
                     off += ((sub - book[k]) ** 2).sum(1)
                 code = np.stack(code, axis=1)
-                where = index.shard[near]
-                rows: dict[str, list] = {k: [] for k in ("cell", "role", "at", "probes")}
+                home = index.shard[own]
                 block = (np.frombuffer(b"".join(_short(i) for i in part.column(0).to_pylist()), np.uint64) >> np.uint64(1)).astype(np.int64)
-                for i in range(len(x)):
-                    home = index.shard[own[i]]
-                    mine = index.first[home] + block[i] % index.cells[home]
-                    member = len(rows["cell"])
-                    rows["cell"].append(mine)
-                    rows["role"].append(0)
-                    rows["at"].append(i)
-                    rows["probes"].append(b"")
-                    if not asks[i]:
-                        continue
-                    for sh in set(where[i].tolist()):
-                        lists = near[i][where[i] == sh].astype(np.int32).tobytes()
-                        for cell in range(index.first[sh], index.first[sh] + index.cells[sh]):
-                            if cell == mine:  # the member row also asks here
-                                rows["probes"][member] = lists
-                            else:
-                                rows["cell"].append(cell)
-                                rows["role"].append(1)
-                                rows["at"].append(i)
-                                rows["probes"].append(lists)
-                take = pa.array(rows["at"])
-                role = np.array(rows["role"])
-                blank = np.array(rows["role"]) == 1
+                mine = index.first[home] + block % index.cells[home]
+                cell, who, lists, bounds = _asked(index, np.flatnonzero(asks), near[asks])
+                # where a query's own cell is among those it asks, its member row asks
+                same = mine[who] == cell
+                probes = np.full(len(x), b"", object)
+                raw = [lists[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                asked = np.array(raw, object) if raw else np.zeros(0, object)
+                probes[who[same]] = asked[same]
+                take = pa.array(np.r_[np.arange(len(x)), who[~same]])
                 bytes_of = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
-                codes = bytes_of(code).take(take)
+                others = int((~same).sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows["cell"], pa.int32()),
-                        pa.array(role, pa.int32()),
+                        pa.array(np.r_[mine, cell[~same]].astype(np.int32)),
+                        pa.array(np.r_[np.zeros(len(x)), np.ones(others)].astype(np.int32)),
                         part.column(0).take(take),
                         pa.array(own.astype(np.int32)).take(take),
-                        pa.array(rows["probes"], pa.binary()),
-                        pa.array([b"" if q else c for q, c in zip(blank, codes.to_pylist(), strict=True)], pa.binary()),
+                        pa.array([*probes.tolist(), *asked[~same].tolist()], pa.binary()),
+                        pa.concat_arrays([bytes_of(code), pa.array([b""] * others, pa.binary())]),
                         pa.array(np.sqrt(off)).take(take),
                         bytes_of(x).take(take),
                     ],
@@ -191,6 +188,23 @@ def _place(index: Index, dim: int, only: bool):
     return run
 
 
+def _asked(index: Index, rows: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cells asked, row asking, lists, bounds of each pair's lists) of rows and the lists they probe; a row asks all cells of a shard for the same lists."""
+    who = np.repeat(rows, near.shape[1])
+    lists = near.ravel().astype(np.int32)
+    shard = index.shard[lists]
+    order = np.lexsort((shard, who))
+    who, lists, shard = who[order], lists[order], shard[order]
+    first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (shard[1:] != shard[:-1])]) if len(who) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(who)])
+    n = index.cells[shard[first]]  # cells of each pair's shard
+    pair = np.repeat(np.arange(len(first)), n)
+    cell = index.first[shard[first]][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    if len(pair) > len(first):  # some shards have several cells
+        lists = np.concatenate([lists[first[p] : first[p] + size[p]] for p in pair.tolist()])
+    return cell, who[first][pair], lists, np.r_[0, np.cumsum(size[pair])]
+
+
 def _short(text: str) -> bytes:
     return xxhash.xxh3_64_digest(text)
 
@@ -312,7 +326,8 @@ def nearest_vectors(
     min_similarity: float | None = None,
     probes: float = 8,
     rerank: int = 10,
-    fit_rows: int = 20_000,
+    fit_rows: int = 8_000,
+    most_fit_rows: int = 262_144,
     ask: str | None = None,
     cell_rows: int = 12_000,
     sub_width: int = 4,
@@ -328,7 +343,9 @@ def nearest_vectors(
     ``rerank`` members of best approximate similarity of each probed list are
     compared exactly. Loss: only through lists not probed (and ``rerank``).
     ``probes``: lists probed by a query, or their share if below 1.
-    The fit takes a sample of about ``fit_rows`` vectors, the index holds all.
+    There is a list for the square root of the vectors. The fit takes a sample of about
+    8 vectors a list, ``fit_rows`` at least and ``most_fit_rows`` at most (which serve
+    10^9 vectors; of more, the lists grow); the index holds all vectors.
 
     ``sub_width``: dimensions per code byte; fewer give finer approximate similarities.
 
@@ -338,6 +355,7 @@ def nearest_vectors(
     rows = vectors.count()
     if rows == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
+    fit_rows = min(max(fit_rows, round(8 * rows**0.5)), most_fit_rows)
     share = min(1.0, fit_rows / rows)
     picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("id", "vector")
     sample = _collect(picked.limit(2 * fit_rows), dim)
@@ -349,7 +367,7 @@ def nearest_vectors(
     index = fit(unit_rows(sample.column("vector"), dim), rows, probes=probes, cell_rows=cell_rows, sub_width=sub_width)
     cells = int(index.cells.sum())
     placed = vectors.select("id", "vector", *([ask] if ask else [])).mapInArrow(_place(index, dim, ask is not None), _PLACED)
-    placed = placed.repartition(min(cells, 100_000), "cell").sortWithinPartitions("cell", "role")
+    placed = placed.repartitionById(min(cells, 100_000), F.col("cell")).sortWithinPartitions("cell", "role")  # a cell, a task
     part = placed.mapInArrow(_search(index, dim, k, min_similarity, rerank), "id string, neighbour string, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return _first(part, best, k)
@@ -367,55 +385,17 @@ def _collect(df: DataFrame, dim: int) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if any(b.num_rows for b in batches) else pa.RecordBatch.from_pylist([], pa.schema([("id", pa.string()), ("vector", pa.list_(pa.float32()))]))
 
 
-def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int = 4_096) -> DataFrame:
-    """The exact answer for the rows where ``ask`` is true: each block of them passes over all rows once.
+def brute_force(vectors: DataFrame, dim: int, *, k: int, ask: str, block: int = 20_000) -> DataFrame:
+    """The exact answer for the rows where ``ask`` is true, by blocks of them against blocks of all. For measuring the index.
 
-    A block is what a task holds (4,096 vectors); a task keeps k + 1 rows per query and
-    batch, the rest is an ordinary window. Similarities are rounded to 10 places, ties
-    go by the neighbour's id. For measuring the index.
+    Similarities are rounded to 12 places, ties go by the neighbour's id.
     """
-    spark = vectors.sparkSession
-    queries = vectors.where(ask).select("id", "vector").orderBy("id").toLocalIterator(prefetchPartitions=False)
-    out, held = None, []
-
-    def over(ids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                batch = usable_rows(batch, dim)
-                if not batch.num_rows:
-                    continue
-                names, one = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_index=True)  # by id; repeated rows once
-                x = unit_rows(batch.column(1), dim)[one].astype(np.float64)
-                n = min(k + 1, len(names))
-                late = np.arange(len(names)) / len(names) * 5e-11  # of equal ones the smaller id comes first
-                for at in range(0, len(ids), 512):
-                    s = np.round(q[at : at + 512].astype(np.float64) @ x.T, 10)
-                    top = np.argpartition(late - s, n - 1, axis=1)[:, :n]
-                    r = np.repeat(np.arange(len(s)), n)
-                    mine, others = ids[at + r], names[top.ravel()]
-                    out = pa.RecordBatch.from_arrays([pa.array(mine, pa.string()), pa.array(others, pa.string()), pa.array(s[r, top.ravel()])], ["id", "neighbour", "similarity"])
-                    yield out.filter(pa.array(mine != others))
-
-        return run
-
-    def flush() -> None:
-        nonlocal out, held
-        if held:
-            q = unit_rows(pa.array([v for _, v in held], pa.list_(pa.float32())), dim)
-            one = vectors.select("id", "vector").mapInArrow(over(np.array([i for i, _ in held], object), q), "id string, neighbour string, similarity double")
-            best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-            one = _first(one, best, k)
-            out = one if out is None else out.unionByName(one)
-            held = []
-
-    for row in queries:
-        if row[0] is None or row[1] is None or len(row[1]) != dim or not np.isfinite(np.array(row[1], float)).all() or not any(row[1]):
-            continue
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            flush()
-    flush()
-    return out if out is not None else spark.createDataFrame([], "id string, neighbour string, similarity double")
+    usable = vectors.select("id", "vector", ask).mapInArrow(lambda batches: (usable_rows(b, dim) for b in batches), f"id string, vector {dict(vectors.dtypes)['vector']}, asks boolean")
+    rows = stage(usable.dropDuplicates(["id"]), "usable")
+    found = class_neighbours(rows.where("asks").select("id", "vector"), rows.select("id", F.lit(0).alias("label"), "vector"), k + 1, block=block)
+    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    others = found.where("query_id <> chunk_id").select(F.col("query_id").alias("id"), F.col("chunk_id").alias("neighbour"), "similarity")
+    return _first(others, best, k)
 
 
 def with_copies(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
