@@ -78,7 +78,7 @@ class Index:
         return np.pad(x, ((0, 0), (0, short))) if short else x
 
 
-def fit(sample: np.ndarray, rows: int, *, probes: float, sub_width: int = 4, cell_rows: int = 12_000, seed: int = 7) -> Index:
+def fit(sample: np.ndarray, rows: int, *, probes: float, least_probes: int = 1, sub_width: int = 4, cell_rows: int = 12_000, seed: int = 7) -> Index:
     """Fit on unit vectors ``sample``, drawn from ``rows`` vectors."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(round(rows**0.5), 1, max(1, len(sample) // 8)))
@@ -103,12 +103,12 @@ def fit(sample: np.ndarray, rows: int, *, probes: float, sub_width: int = 4, cel
         cut = int(np.clip(np.searchsorted(np.cumsum(share[order]), share[order].sum() / 2), 1, len(order) - 1))
         todo += [order[:cut], order[cut:]]
     cells = np.maximum(1, np.ceil(np.bincount(shard, share, done) / cell_rows)).astype(np.int64)
-    return Index(c, np.stack([_fill(b) for b in books]), shard, cells, np.cumsum(cells) - cells, probe_count(probes, len(c)))
+    return Index(c, np.stack([_fill(b) for b in books]), shard, cells, np.cumsum(cells) - cells, probe_count(probes, len(c), least_probes))
 
 
-def probe_count(probes: float, lists: int) -> int:
-    """A number of lists, or a share of them if below 1."""
-    return max(1, min(int(probes if probes >= 1 else np.ceil(probes * lists)), lists))
+def probe_count(probes: float, lists: int, least: int = 1) -> int:
+    """A number of lists, or a share of them if below 1; ``least`` of them at least."""
+    return max(1, min(max(least, int(probes if probes >= 1 else np.ceil(probes * lists))), lists))
 
 
 def _fill(book: np.ndarray) -> np.ndarray:
@@ -325,6 +325,7 @@ def nearest_vectors(
     k: int = 5,
     min_similarity: float | None = None,
     probes: float = 8,
+    least_probes: int = 1,
     rerank: int = 10,
     fit_rows: int = 8_000,
     most_fit_rows: int = 262_144,
@@ -342,7 +343,7 @@ def nearest_vectors(
     further from its code than its residual's error, which is stored. Otherwise the
     ``rerank`` members of best approximate similarity of each probed list are
     compared exactly. Loss: only through lists not probed (and ``rerank``).
-    ``probes``: lists probed by a query, or their share if below 1.
+    ``probes``: lists probed by a query, or their share if below 1, but ``least_probes`` at least.
     There is a list for the square root of the vectors. The fit takes a sample of about
     8 vectors a list, ``fit_rows`` at least and ``most_fit_rows`` at most (which serve
     10^9 vectors; of more, the lists grow); the index holds all vectors.
@@ -364,7 +365,7 @@ def nearest_vectors(
     if sample.num_rows == 0:
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
     sample = sample.sort_by("id")
-    index = fit(unit_rows(sample.column("vector"), dim), rows, probes=probes, cell_rows=cell_rows, sub_width=sub_width)
+    index = fit(unit_rows(sample.column("vector"), dim), rows, probes=probes, least_probes=least_probes, cell_rows=cell_rows, sub_width=sub_width)
     cells = int(index.cells.sum())
     placed = vectors.select("id", "vector", *([ask] if ask else [])).mapInArrow(_place(index, dim, ask is not None), _PLACED)
     placed = placed.repartitionById(min(cells, 100_000), F.col("cell")).sortWithinPartitions("cell", "role")  # a cell, a task
