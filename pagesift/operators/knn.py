@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift.operators.ranking import first_in_groups
 
-_FOUND = "query_id string, label int, chunk_id string, similarity double"
+FOUND = "query_id string, label int, chunk_id string, similarity double"
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -21,11 +21,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _comparison(k: int, reach=None):
-    """Compares the queries (id, vector) of one table with the chunks (cid, clabel, cvector) of another.
-
-    ``reach``: chunks -> (queries -> which chunks each query may find); all, if not given.
-    """
+def class_comparison(k: int):
+    """Compares the queries (id, vector) of one table with the chunks (cid, clabel, cvector) of another: the ``k`` best of each class."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.string()), "label": pa.array([], pa.int32()), "chunk_id": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
@@ -40,13 +37,10 @@ def _comparison(k: int, reach=None):
         for label in np.unique(labels):
             mine = np.flatnonzero(labels == label)
             n = min(k, len(mine))
-            near = reach(b[mine]) if reach else None
             for at in range(0, len(a), 512):
                 s = np.round(np.clip(a[at : at + 512] @ b[mine].T, 0, 1), 12)
-                if near:
-                    s[~near(a[at : at + 512])] = -1
                 least = np.partition(s, len(mine) - n, axis=1)[:, len(mine) - n]
-                r, x = np.nonzero((s >= least[:, None]) & (s >= 0))
+                r, x = np.nonzero(s >= least[:, None])
                 order = np.lexsort((x, -s[r, x], r))  # rows are sorted by id
                 r, x = r[order], x[order]
                 first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
@@ -67,10 +61,6 @@ def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int, *, block: in
     of about ``block`` rows; a task compares two blocks by matrix products and hands
     on ``k`` rows per query and class, so no pair is ever written out.
     """
-    return _in_blocks(queries, corpus, k, block, _comparison(k))
-
-
-def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int, compare) -> DataFrame:
     q_blocks = max(1, math.ceil(queries.count() / block))
     c_blocks = max(1, math.ceil(corpus.count() / block))
     q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))
@@ -79,48 +69,5 @@ def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, block: int, compar
     c = corpus.select(F.col("id").alias("cid"), F.col("label").alias("clabel"), F.col("vector").alias("cvector"), F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int").alias("cj"))
     c = c.withColumn("ci", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
-    pairs = q.groupBy("i", "j").cogroup(c.groupBy("ci", "cj")).applyInArrow(compare, _FOUND)
+    pairs = q.groupBy("i", "j").cogroup(c.groupBy("ci", "cj")).applyInArrow(class_comparison(k), FOUND)
     return first_in_groups(pairs, ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)
-
-
-def _probing(planes: np.ndarray, probes: int):
-    """Chunks -> (queries -> chunks in one of the ``probes`` buckets of each table that lie nearest to the query).
-
-    A bucket lies as far away as the squares of the query's distances to the planes between them sum up to.
-    """
-    bits = planes.shape[1]
-    sides = (np.arange(1 << bits)[:, None] >> np.arange(bits) & 1).astype(np.float64)
-    probes = min(probes, len(sides))
-
-    def reach(chunks: np.ndarray):
-        codes = [(chunks @ p.T > 0) @ (1 << np.arange(bits)) for p in planes]
-
-        def near(queries: np.ndarray) -> np.ndarray:
-            met = np.zeros((len(queries), len(chunks)), bool)
-            for p, code in zip(planes, codes, strict=True):
-                edge = queries @ p.T
-                far = edge**2
-                far = (far * (edge > 0)).sum(1)[:, None] + np.where(edge > 0, -far, far) @ sides.T
-                probed = np.zeros(far.shape, bool)
-                np.put_along_axis(probed, np.argpartition(far, probes - 1, axis=1)[:, :probes], True, axis=1)
-                met |= probed[:, code]
-            return met
-
-        return near
-
-    return reach
-
-
-def lsh_neighbours(
-    queries: DataFrame, corpus: DataFrame, k: int, dim: int, *, tables: int = 8, bits: int = 10, probes: int = 1, seed: int = 5, block: int = 20_000
-) -> DataFrame:
-    """As ``class_neighbours``, but only chunks in one of ``probes`` buckets of one of ``tables`` draws of ``bits`` random planes.
-
-    The buckets probed are the query's own and those whose planes it lies nearest
-    to. Approximate: a chunk in no probed bucket is missed. Vectors move once per
-    block, never once per bucket; buckets are told apart inside a task. The products
-    of a pair of blocks are all computed, so this finds less than ``class_neighbours``
-    for no less work: it is there to be compared with it.
-    """
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    return _in_blocks(queries, corpus, k, block, _comparison(k, _probing(planes, probes)))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import os
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pagesift.plans.names import fresh
 from pagesift.plans.stages import stage
 
 
@@ -30,6 +32,10 @@ def write_shards(df: DataFrame, path: str, size: int = 250) -> None:
     df.write.mode("errorifexists").option("maxRecordsPerFile", size).option("compression", "gzip").json(path)
 
 
+#: Versions a collection's buckets may be spread over before a load rewrites them all.
+MOST_VERSIONS = 16
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,10 +53,10 @@ def write_json(spark: SparkSession, value: dict, path: str, overwrite: bool = Tr
         out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=1).encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"can't move {path} into place")
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE  # one step: readers see the old object or the new one
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, how)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -115,29 +121,59 @@ def write_matrix(df: DataFrame, folder: str, dim: int, block: int = 65_536) -> D
     return stage(rows.groupBy("_b").applyInPandas(save, "block long, rows long"), "blocks")
 
 
-def upsert(spark: SparkSession, folder: str, rows: DataFrame, key: str, order: str, partition: str) -> str:
+def upsert(spark: SparkSession, folder: str, rows: DataFrame, key: str, order: str, partition: str, *, buckets: int = 64) -> str:
     """Merge ``rows`` into the table of ``folder``: the last row of each key by ``order`` stays. Returns the new version's path.
 
-    Versions are written beside each other and a pointer file names the current one,
-    so readers never see half a version.
+    The table is cut into ``buckets`` by a hash of the key (chosen by the first load);
+    a load rewrites only those it touches, and a pointer file names the version of each,
+    so readers never see half a load and older versions stay whole. Of rows equal in
+    key and order the later load's counts, within a load the one of larger hash.
     """
     pointer = f"{folder}/CURRENT.json"
-    current = read_json(spark, pointer) or {"version": 0}
-    both = rows
-    if current["version"]:
-        both = spark.read.parquet(f"{folder}/v{current['version']}").select(*rows.columns).unionByName(rows)
-    last = Window.partitionBy(key).orderBy(F.desc(order))
-    path = f"{folder}/v{current['version'] + 1}"
-    kept = both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
-    kept.write.mode("overwrite").partitionBy(partition).parquet(path)
-    write_json(spark, {"version": current["version"] + 1}, pointer)
+    current = read_json(spark, pointer) or {"version": 0, "buckets": buckets, "parts": {}, "schema": json.loads(rows.schema.json())}
+    bucket, load, rank = fresh(rows.columns, "_bucket", "_load", "_r")
+    fresh_rows = rows.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(current["buckets"])).cast("int")).withColumn(load, F.lit(1))
+    touched = [str(r[0]) for r in fresh_rows.select(bucket).distinct().collect()]
+    if len(set(current["parts"].values())) >= MOST_VERSIONS:  # else readers would open ever more versions
+        touched = sorted({*touched, *current["parts"]})
+    known = {b: v for b, v in current["parts"].items() if b in touched}
+    both = fresh_rows
+    if known:
+        old = _parts(spark, folder, known, current).select(*rows.columns)
+        both = old.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(current["buckets"])).cast("int")).withColumn(load, F.lit(0)).unionByName(fresh_rows)
+    last = Window.partitionBy(bucket, key).orderBy(F.col(order).desc_nulls_last(), F.desc(load), F.xxhash64(*rows.columns))
+    kept = both.repartition(F.col(bucket)).withColumn(rank, F.row_number().over(last)).where(F.col(rank) == 1).drop(rank, load)
+    version = current["version"] + 1
+    path = f"{folder}/v{version}"
+    kept.withColumnRenamed(bucket, "_bucket").write.mode("overwrite").partitionBy("_bucket", partition).parquet(path)
+    write_json(spark, {**current, "version": version, "parts": {**current["parts"], **dict.fromkeys(touched, version)}}, pointer)
     return path
 
 
-def open_collection(spark: SparkSession, folder: str, label: int | None = None) -> DataFrame:
-    """The current version of an upserted table; ``label`` prunes its partitions."""
+def _parts(spark: SparkSession, folder: str, parts: dict[str, int], current: dict) -> DataFrame:
+    schema = T.StructType.fromJson(current["schema"])
+    out = None
+    for version in sorted(set(parts.values())):
+        base = f"{folder}/v{version}"
+        paths = [f"{base}/_bucket={b}" for b, v in sorted(parts.items()) if v == version]
+        rows = spark.read.option("basePath", base).schema(schema).parquet(*paths).select(*schema.names)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def open_collection(spark: SparkSession, folder: str, label: int | None = None, refresh: Callable[[], None] | None = None) -> DataFrame:
+    """The current version of an upserted table; ``label`` prunes its partitions.
+
+    If there is none, ``refresh`` (say, a copy from elsewhere) is called once; if there
+    is still none, or no such label, that is an error.
+    """
     current = read_json(spark, f"{folder}/CURRENT.json")
+    if current is None and refresh is not None:
+        refresh()
+        current = read_json(spark, f"{folder}/CURRENT.json")
     if current is None:
         raise FileNotFoundError(f"no collection in {folder}")
-    rows = spark.read.parquet(f"{folder}/v{current['version']}")
+    if not current["parts"]:
+        return spark.createDataFrame([], T.StructType.fromJson(current["schema"]))
+    rows = _parts(spark, folder, current["parts"], current)
     return rows if label is None else rows.where(F.col("label") == label)

@@ -79,6 +79,33 @@ def test_upsert_keeps_last(spark, tmp_path):
     assert sinks.open_collection(spark, folder, 0).count() == 1
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/c", "id long, label int, v int, t int"
+    sinks.upsert(spark, folder, spark.createDataFrame([(i, i % 2, i, 1) for i in range(50)], schema), "id", "t", "label", buckets=8)
+    sinks.upsert(spark, folder, spark.createDataFrame([(7, 1, -7, 1), (7, 0, -8, 2), (7, 0, -9, None)], schema), "id", "t", "label")
+    parts = sinks.read_json(spark, f"{folder}/CURRENT.json")["parts"]
+    assert sorted(parts.values()) == [1] * 7 + [2]
+    assert {r["id"]: r["v"] for r in sinks.open_collection(spark, folder).collect()} == {i: i if i != 7 else -8 for i in range(50)}
+    assert sinks.open_collection(spark, folder, 1).count() == 24
+    for i in range(20):
+        sinks.upsert(spark, folder, spark.createDataFrame([(i, 0, 100 + i, 9)], schema), "id", "t", "label")
+    assert len(set(sinks.read_json(spark, f"{folder}/CURRENT.json")["parts"].values())) <= sinks.MOST_VERSIONS
+    assert sinks.open_collection(spark, folder).where("v >= 100").count() == 20
+
+
+def test_missing_collection_is_refreshed_once(spark, tmp_path):
+    folder, calls = f"file://{tmp_path}/c", []
+
+    def refresh():
+        calls.append(1)
+        if len(calls) == 2:
+            sinks.upsert(spark, folder, spark.createDataFrame([(1, 0, 1)], "id long, label int, t int"), "id", "t", "label")
+
+    with pytest.raises(FileNotFoundError):
+        sinks.open_collection(spark, folder, refresh=refresh)
+    assert sinks.open_collection(spark, folder, refresh=refresh).count() == 1 and len(calls) == 2
+
+
 def test_fetch_with_injected_client(spark):
     def fetch(url):
         return (200, b"x", None, None) if url == "a" else (404, b"y", None, None) if url == "b" else (None, b"", "ConnectTimeout", "slow")

@@ -343,10 +343,10 @@ def test_formats(spark):
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
-def test_neighbours_equal_brute_force_and_contain_bucketed_ones(spark, block):
+def test_neighbours_equal_brute_force(spark, block):
     import numpy as np
 
-    from pagesift.operators.knn import class_neighbours, lsh_neighbours
+    from pagesift.operators.knn import class_neighbours
 
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8)).round(1) + 0.05
@@ -356,12 +356,37 @@ def test_neighbours_equal_brute_force_and_contain_bucketed_ones(spark, block):
     s = np.round(np.clip(u @ u.T, 0, 1), 12)
     want = {(f"v{q:02d}", y, f"v{c:02d}", r + 1) for q in range(10) for y in (0, 1) for r, c in enumerate(sorted((c for c in range(60) if c % 2 == y), key=lambda c: (-s[q, c], c))[:4])}
     assert {(r["query_id"], r["label"], r["chunk_id"], r["rank"]) for r in class_neighbours(queries, corpus, 4, block=block).collect()} == want
-    near = {(r["query_id"], r["chunk_id"]) for r in lsh_neighbours(queries, corpus, 1, 8, tables=6, bits=2, block=block).collect()}
-    assert {(q, q) for q in (f"v{i:02d}" for i in range(10))} <= near
 
 
-def test_bucketed_neighbours_reach_nine_in_ten(spark):
-    from pagesift.plans.q_votes import knn_lsh_recall
+def test_index_of_classes_is_merged_and_probed(spark, tmp_path):
+    import numpy as np
 
-    row = knn_lsh_recall(spark, "/root/testdata/sf0.01").first()
-    assert row["queries"] > 100 and row["hits"] <= row["true_neighbours"] and row["recall"] >= 0.9
+    from pagesift.operators.class_index import add_chunks, fit_index, index_neighbours, open_index
+    from pagesift.operators.knn import class_neighbours
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))[rng.integers(0, 40, 900)] + 0.2 * rng.normal(size=(900, 6))
+    schema = "id string, label int, vector array<float>, seq int"
+    rows = spark.createDataFrame([(f"v{i:03d}", i % 2, v.tolist(), 1) for i, v in enumerate(x)], schema)
+    folder = f"file://{tmp_path}/index"
+    with pytest.raises(FileNotFoundError):
+        index_neighbours(rows.select("id", "vector"), folder, 1)
+    fit_index(rows, folder, 6)
+    stale = rows.where("id < 'v300'").withColumn("vector", F.transform("vector", lambda v: -v))
+    add_chunks(stale.unionByName(rows.where("id >= 'v300'")), folder, order="seq")
+    add_chunks(rows.where("id < 'v300'").withColumn("seq", F.lit(2)), folder, order="seq")
+    assert open_index(spark, folder).count() == 900 and open_index(spark, folder, 1).count() == 450
+    queries = rows.where("id < 'v100'").select("id", "vector")
+    true = {tuple(r) for r in class_neighbours(queries, rows.drop("seq"), 5).select("query_id", "label", "chunk_id", "rank").collect()}
+    whole = {tuple(r) for r in index_neighbours(queries, folder, 5, probes=1.0, least_probes=99).select("query_id", "label", "chunk_id", "rank").collect()}
+    assert whole == true
+    some = {tuple(r) for r in index_neighbours(queries, folder, 5, probes=0.3, least_probes=1, cell_rows=20).select("query_id", "label", "chunk_id", "rank").collect()}
+    assert len(some & true) >= 0.9 * len(true) and len(some) == len(true)
+    assert index_neighbours(queries.where("false"), folder, 5).count() == 0
+
+
+def test_index_reaches_nine_in_ten(spark):
+    from pagesift.plans.q_votes import knn_index_recall
+
+    for row in knn_index_recall(spark, "/root/testdata/sf0.01").collect():
+        assert row["queries"] > 100 and row["hits"] <= row["true_neighbours"] and row["recall"] >= 0.95
