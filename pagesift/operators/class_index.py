@@ -120,7 +120,7 @@ def _cells(counts: list[tuple[int, int, int]], centroids: dict[int, np.ndarray],
 
 
 def index_neighbours(
-    queries: DataFrame, folder: str, k: int, *, probes: float = 0.1, least_probes: int = 24, cell_rows: int = 4_000
+    queries: DataFrame, folder: str, k: int, *, probes: float = 0.1, least_probes: int = 24, cell_rows: int = 12_000
 ) -> DataFrame:
     """(query_id, label, chunk_id, similarity, rank): as ``class_neighbours``, over the index in ``folder``; queries (id, vector) have usable vectors.
 
@@ -137,7 +137,7 @@ def index_neighbours(
     table = spark.createDataFrame([(*at, *to) for at, to in where.items()], "label int, list int, _first int, _n int")
     member = index.join(broadcast_if_small(table), ["label", "list"])
     cell = (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_n"))).cast("int")
-    members = member.select(cell.alias("cell"), F.lit(0).alias("role"), "id", "label", F.col("vector").cast("array<double>").alias("vector"))
+    members = member.select(cell.alias("cell"), F.lit(0).alias("role"), "id", "label", "vector")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +159,15 @@ def index_neighbours(
                 cell = pa.array(np.concatenate(to).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([cell, pa.array(np.ones(len(take), np.int32)), part.column(0).take(take), zero, part.column(1).take(take)], ["cell", "role", "id", "label", "vector"])
 
-    schema = "cell int, role int, id string, label int, vector array<double>"
-    asking = queries.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(ask, schema)
+    kind = dict(index.dtypes)["vector"]
+    schema = f"cell int, role int, id string, label int, vector {kind}"
+    asking = queries.select("id", F.col("vector").cast(kind).alias("vector")).mapInArrow(ask, schema)
     met = members.unionByName(asking).repartitionById(min(cells, 100_000), F.col("cell")).sortWithinPartitions("cell", "role")
-    return first_in_groups(met.mapInArrow(_compare(k), FOUND), ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)
+    # a cell's best of a query travel as one row and are ranked where they meet
+    best = met.mapInArrow(_compare(k), "query_id string, label int, chunk_ids array<string>, similarities array<double>")
+    pairs = F.inline(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("similarities").alias("similarity")))
+    best = best.repartition("query_id", "label").select("query_id", "label", pairs)
+    return first_in_groups(best, ["query_id", "label"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 
 def _compare(k: int):
@@ -184,6 +189,19 @@ def _compare(k: int):
                     held.append(part.select(["id", "label", "vector"]).rename_columns(["cid", "clabel", "cvector"]))
                 elif held:
                     right = right if right is not None else pa.concat_tables(held).combine_chunks()
-                    yield from compare(part.select(["id", "vector"]), right).to_batches()
+                    yield from _lists(compare(part.select(["id", "vector"]), right))
 
     return run
+
+
+def _lists(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, label, chunk_id, similarity), those of a query and class in a row, as one row of lists each."""
+    if not found.num_rows:
+        return
+    found = found.combine_chunks()
+    query, label, chunk, similarity = (c.chunk(0) for c in found.columns)
+    names = query.dictionary_encode().indices.to_numpy()
+    new = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (np.diff(label.to_numpy()) != 0)])
+    offsets = pa.array(np.r_[new, found.num_rows].astype(np.int32))
+    columns = [query.take(pa.array(new)), label.take(pa.array(new)), pa.ListArray.from_arrays(offsets, chunk), pa.ListArray.from_arrays(offsets, similarity)]
+    yield pa.RecordBatch.from_arrays(columns, ["query_id", "label", "chunk_ids", "similarities"])
