@@ -377,7 +377,29 @@ def test_near_duplicates_equal_brute_force(spark, width, t, hot):
         got = {(r[0], r[1]) for r in nd.expand_pairs(pairs, members).collect()}
     finally:
         nd.signatures.__kwdefaults__["hot_texts"] = old
-    assert got == pairs_by_force(texts, width, t, 20)
+    want = pairs_by_force(texts, width, t, 20)
+    assert got == want
+    whole, members = nd.near_duplicate_pairs(df, width=width, threshold=t, min_words=20, exact=True)
+    assert {(r[0], r[1]) for r in nd.expand_pairs(whole, members).collect()} == want
+
+
+def test_frequent_words_are_counted_without_a_gather(spark):
+    rows = [(i, [7, 1_000 + i, 2_000 + i // 2]) for i in range(600)] + [(i, [7, 2_000 + i // 2]) for i in range(50)]
+    signed = spark.createDataFrame(rows, "text_hash long, sketch array<long>").repartition(7)
+    want = {(7, i, 600) for i in range(600)} | {(2_000 + i // 2, i, 2) for i in range(600)}
+    for hot in (200_000, 100, 1):
+        got = nd.shared_words(signed, hot, 64)
+        assert sorted(map(tuple, got.select("word", "text_hash", "_n").collect())) == sorted(want)
+    # in the split way the word that is in every text spreads over the tasks (small partitions aren't put together here)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "4096"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert nd.shared_words(signed, 100, 64).where("word = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 300
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_near_duplicate_edges(spark):
