@@ -14,7 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.abuse_lines import LANGUAGES, lines
 from pagesift.llm.convnet import ConvNet
-from pagesift.llm.words import INLINE_TAG, INVISIBLE, TAG
+from pagesift.llm.words import INLINE_TAG, INVISIBLE, TAG, mix
 from pagesift.plans.names import without
 
 #: Letters of other alphabets that look like Latin ones.
@@ -37,6 +37,9 @@ LEET = str.maketrans("013457@$!|+89", "oieastasilt" + "bg")
 _PARTED = re.compile(r"(?<![^\W_])[^\W_](?:(?P<s>[ .\-_*·]{1,3})[^\W_])(?:(?P=s)[^\W_])+(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_][^\W_*@$!|+']*(?:[*@$!|+]+[^\W_]+)*\**(?=[^\w]|$)|[*]+[^\W_]+|[^\W_]+")
 _END = re.compile(r"[.!?…;]+(?=\s|$)|[\n\r]+|:\)|(?<=\s)[-–—](?=\s)")
+_STOP = "\n"
+#: Words and ends of sentences in one pass: no word begins with a sign that an end has.
+_MARKED = re.compile(f"(?:{_END.pattern})|(?:{_TOKEN.pattern})")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _MASK = re.compile(r"\*+")
 _STRETCHED = re.compile(r"(.)\1{2,}", re.S)
@@ -129,8 +132,8 @@ class Speller:
         return "#masked"
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text, or of light HTML, folded and with parted words joined."""
+def prepared(text: str) -> str:
+    """A text, or light HTML, without tags, entities and invisible signs and with parted words joined."""
     if "<" in text:
         text = TAG.sub("\n", INLINE_TAG.sub("", text))
     if "&" in text:
@@ -138,8 +141,12 @@ def sentences(text: str) -> list[str]:
 
         text = html.unescape(text)
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
-    text = _PARTED.sub(lambda m: "".join(c for c in m.group() if c.isalnum()), text)
-    return [s for s in _END.split(text) if s and not s.isspace()]
+    return _PARTED.sub(lambda m: "".join(c for c in m.group() if c.isalnum()), text)
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences of a text."""
+    return [s for s in _END.split(prepared(text)) if s and not s.isspace()]
 
 
 def tokens(sentence: str, speller: Speller | None) -> list[str]:
@@ -171,6 +178,19 @@ def language(words: list[str]) -> str:
     return max(LANGUAGES, key=lambda x: (votes[x], x == "en")) if votes else "en"
 
 
+class _Ids(dict):
+    """The net's id of each word as written, -1 for the end of a sentence, worked out once; emptied before it grows large."""
+
+    def __init__(self, model: Classifier):
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = self.model.net.ids([self.model.spell(word)])[0] if word[0] == "*" or word[0].isalnum() else -1
+        return found
+
+
 @dataclass
 class Classifier:
     """Net, spelling and thresholds by language."""
@@ -179,60 +199,80 @@ class Classifier:
     speller: Speller
     thresholds: dict[str, float]
 
-    known: dict = field(default_factory=dict, repr=False)  # id of each token as written
-    judged: dict = field(default_factory=dict, repr=False)  # probability of each row of ids
+    #: A sentence of more words is read in parts that share the words between the two numbers, so all of it is read.
+    PART, STEP = 128, 120
+
+    def __post_init__(self):
+        self._known, self._answers = _Ids(self), None
+
+    def __getstate__(self):
+        return {"net": self.net, "speller": self.speller, "thresholds": self.thresholds}
 
-    def _ids(self, raw: list[str]) -> list[int]:
-        """Ids of words as written; each spelling is worked out once."""
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in raw:
-            if w not in known:
-                known[w] = self.net.ids([self.speller(fold(_latin(w.lower())))])[0]
-        return [known[w] for w in raw]
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def spell(self, word: str) -> str:
+        return self.speller(fold(_latin(word.lower())))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(score, score over the threshold of its sentence's language) of each text; 0 for texts without words.
 
-        Unknown words are alike to the net, so many sentences are the same row of
-        ids, which is judged once. The language matters only near the thresholds.
+        The words of all texts lie in one row, with a mark after each sentence. Unknown
+        words are alike to the net, so many sentences are the same row of ids, which is
+        judged once. The language matters only near the thresholds.
         """
-        rows, owner, said = [], [], []
+        raw: list[str] = []
+        upto = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            for s in sentences(text):
-                raw = _TOKEN.findall(s)
-                ids = self._ids(raw)
-                # a very long sentence is read in overlapping parts, so all of it is read
-                for at in range(0, max(len(ids) - 8, 1), 120):
-                    part = tuple(ids[at : at + 128])
-                    if part:
-                        rows.append(part)
-                        owner.append(i)
-                        said.append((raw, at))
-        if len(self.judged) > 300_000:
-            self.judged.clear()
-        new = [r for r in dict.fromkeys(rows) if r not in self.judged]
-        self.judged.update(zip(new, self.net.predict([list(r) for r in new]).tolist(), strict=True))
-        p = np.array([self.judged[r] for r in rows])
-        limit = np.full(len(p), 1.0 if not self.thresholds else max(self.thresholds.values()))
-        for j in np.flatnonzero(p >= min(self.thresholds.values(), default=1.0)).tolist():
-            raw, at = said[j]
-            limit[j] = self.thresholds[language([self.speller(fold(_latin(w.lower()))) for w in raw[at : at + 128]])]
+            if text:
+                raw += _MARKED.findall(prepared(text))
+                raw.append(_STOP)
+            upto[i + 1] = len(raw)
+        ids = np.fromiter(map(self._known.__getitem__, raw), np.int64, len(raw))
+        stops = np.flatnonzero(ids < 0)
+        begin = np.r_[0, stops[:-1] + 1] if len(stops) else stops
+        begin, length = self._parts(begin, stops - begin)
         best, over = np.zeros(len(texts)), np.zeros(len(texts))
+        if not len(begin):
+            return best, over
+        take = np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
+        flat, at = ids[take], np.cumsum(length) - length
+        place = (take - np.repeat(begin, length)).astype(np.uint64)
+        mark = np.add.reduceat(mix(mix(flat.astype(np.uint64) + (place << np.uint64(32)))), at) + length.astype(np.uint64)
+        _, one, which = np.unique(mark, return_index=True, return_inverse=True)
+        n = length[one]
+        rows = flat[np.arange(n.sum()) + np.repeat(at[one] - (np.cumsum(n) - n), n)]
+        if self._answers is None:
+            self._answers = self.net._answers()
+        p = self.net.predict_flat(rows, n, answers=self._answers)[which]
+        limit = np.full(len(p), max(self.thresholds.values(), default=1.0))
+        for j in np.flatnonzero(p >= min(self.thresholds.values(), default=1.0)).tolist():
+            limit[j] = self.thresholds[language([self.spell(w) for w in raw[begin[j] : begin[j] + length[j]]])]
+        owner = np.searchsorted(upto, begin, side="right") - 1
         np.maximum.at(best, owner, p)
         np.maximum.at(over, owner, p / limit)
         return best, over
 
+    def _parts(self, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and length of the parts of all sentences that have words."""
+        begin, length = begin[length > 0], length[length > 0]
+        long = np.flatnonzero(length > self.PART)
+        if not len(long):
+            return begin, length
+        parts = np.ones(len(begin), np.int64)
+        parts[long] = -(-(length[long] - (self.PART - self.STEP)) // self.STEP)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin, length = np.repeat(begin, parts) + nth * self.STEP, np.repeat(length, parts) - nth * self.STEP
+        return begin, np.minimum(length, self.PART)
+
 
 def _word_weights(data: list[tuple[list[str], int]]) -> dict[str, float]:
     """Log odds of each training word to be in an abusive line."""
     good, bad = Counter(), Counter()
     for words, label in data:
         (bad if label else good).update(set(words))
-    return {w: float(np.log((bad[w] + 0.5) / (good[w] + 0.5))) for w in good.keys() | bad.keys()}
+    return {w: float(np.log((bad[w] + 0.5) / (good[w] + 0.5))) for w in sorted(good.keys() | bad.keys())}
 
 
 def _pieces(calm: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
@@ -246,14 +286,15 @@ def _pieces(calm: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
     return out
 
 
-def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: int = 6, seed: int = 11) -> Classifier:
+def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: int = 6, average: int = 4, seed: int = 11, leave: tuple[int, int] | None = None) -> Classifier:
     """Train on ``count`` written lines and on ``presumed``, sentences of the corpus that are taken as harmless unless the fit so far thinks otherwise.
 
     The thresholds are calibrated per language on lines left out of the training:
     between the scores of nearly all harmless and of nearly all abusive ones.
+    ``leave``: (i, n) leaves out every n-th pattern from the i-th on, for ``held_out``.
     """
     rng = np.random.default_rng(seed)
-    written = [(tokens(t, None), y, lang) for t, y, lang in lines(count, seed)]
+    written = [(tokens(t, None), y, lang) for t, y, lang in lines(count, seed, leave)]
     cut = int(0.9 * len(written))
     order = list(range(len(written)))
     random.Random(seed).shuffle(order)
@@ -263,17 +304,21 @@ def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: in
     own = [digits(w) for w, _, _ in written]
     labels = np.array([y for _, y, _ in written], np.float32)
     net = ConvNet()
-    others = [tokens(s, speller)[:64] for s in presumed]
+    others = [tokens(s, speller) for s in presumed]
     net.start([*own, *others], rng)
     ids, other_ids = [net.ids(w) for w in own], [net.ids(w) for w in others if w]
     common = 4 * [net.ids([w]) for text in _COMMON.values() for w in text.split()]
     first = ids[:cut] + common
     net.train(first, np.r_[labels[:cut], np.zeros(len(common), np.float32)], epochs=epochs, rng=rng)
+    held: list[dict[str, np.ndarray]] = []
     for _ in range(rounds if other_ids else 0):
         calm = [x for x, p in zip(other_ids, net.predict(other_ids), strict=True) if p < 0.8]
         calm = calm + _pieces(calm, rng) + common
         both = ids[:cut] + calm
         net.train(both, np.r_[labels[:cut], np.zeros(len(calm), np.float32)], epochs=1, rng=rng, rate=1e-3)
+        held = [*held, {k: v.copy() for k, v in net.w.items()}][-average:]
+    if held:  # the mean of the last rounds' weights depends less on where the last one stopped
+        net.w = {k: np.mean([w[k] for w in held], axis=0, dtype=np.float32) for k in net.w}
     p = net.predict(ids[cut:])
     thresholds = {}
     for lang in LANGUAGES:
@@ -286,11 +331,39 @@ def fit(presumed: list[str], *, count: int = 16_000, epochs: int = 5, rounds: in
     return Classifier(net, speller, thresholds)
 
 
+def held_out(parts: int = 5, *, count: int = 3_000, seed: int = 999, presumed: list[str] | None = None) -> dict[str, tuple[int, int, int, int]]:
+    """(abusive lines, those of them flagged, harmless lines, those of them flagged) of each language, of patterns the training never saw.
+
+    Every pattern is left out once: the classifier is fitted ``parts`` times, each time
+    without a part of the patterns, and judges lines of these alone.
+    """
+    out = dict.fromkeys(LANGUAGES, (0, 0, 0, 0))
+    for i in range(parts):
+        model = fit(presumed or [], leave=(i, parts))
+        held = [x for x in lines(count, seed, (i, parts), True)]
+        flagged = model.score([t for t, _, _ in held])[1] >= 1
+        for lang in LANGUAGES:
+            mine = [(y, bool(f)) for (_, y, x), f in zip(held, flagged, strict=True) if x == lang]
+            now = (sum(y for y, _ in mine), sum(y and f for y, f in mine), sum(not y for y, _ in mine), sum(f and not y for y, f in mine))
+            out[lang] = tuple(a + b for a, b in zip(out[lang], now, strict=True))
+    return out
+
+
+def _parts_of(sentence: str) -> list[str]:
+    """A sentence in parts of at most ``Classifier.PART`` words, as it is read when it is scored."""
+    words = _TOKEN.findall(sentence)
+    if len(words) <= Classifier.PART and len(sentence) <= 2_000:
+        return [sentence]
+    # a word that stays longer than 40 letters with its repeats taken out is an unknown long one, whatever follows
+    words = [w if len(w) <= 200 else _STRETCHED.sub(r"\1\1", w)[:200] for w in words]
+    return [" ".join(words[at : at + Classifier.PART]) for at in range(0, max(len(words) - 8, 1), Classifier.STEP)]
+
+
 def _sample(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [s[:400] for t in batch.column(0).to_pylist() if t for s in sentences(t) if random.Random(s).random() < share]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["sentence"])
+            every = (part for t in batch.column(0).to_pylist() if t for s in sentences(t) for part in _parts_of(s))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s in every if random.Random(s).random() < share], pa.string())], ["sentence"])
 
     return run
 
@@ -298,8 +371,7 @@ def _sample(share: float):
 def sample_sentences(texts: DataFrame, *, documents: int = 6_000, most: int = 20_000) -> list[str]:
     """At most ``most`` different sentences of about ``documents`` texts, chosen by hash; the same for the same texts.
 
-    Sentences are cut to their first 400 characters, and ``fit`` reads their first
-    64 words; this bounds the training alone, scoring reads whole texts.
+    A long sentence is sampled in the parts in which it is scored.
     """
     total = texts.count()
     share = min(1.0, documents / max(total, 1))

@@ -156,8 +156,11 @@ def neutral(lang: str, rng: random.Random) -> str:
     return line
 
 
-def lines(count: int, seed: int) -> list[tuple[str, int, str]]:
-    """``count`` lines (text, 1 if abusive, language): every pattern in turn, half of them abusive; English has half of all."""
+def lines(count: int, seed: int, leave: tuple[int, int] | None = None, held: bool = False) -> list[tuple[str, int, str]]:
+    """``count`` lines (text, 1 if abusive, language): every pattern in turn, half of them abusive; English has half of all.
+
+    ``leave``: (i, n) leaves out the patterns i, i + n, ...; with ``held`` only these are used.
+    """
     rng = random.Random(seed)
     turn = {}
     out = []
@@ -168,6 +171,8 @@ def lines(count: int, seed: int) -> list[tuple[str, int, str]]:
             out.append((neutral(lang, rng), 0, lang))
             continue
         patterns = (_BAD if bad else _HARMLESS)[lang].split("|")
+        if leave:
+            patterns = [p for j, p in enumerate(patterns) if (j % leave[1] == leave[0]) == held]
         at = turn.get((lang, bad), 0)
         turn[lang, bad] = at + 1
         text = _fill(patterns[at % len(patterns)], lang, rng)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -43,7 +44,7 @@ class ConvNet:
     def start(self, sentences: list[list[str]], rng: np.random.Generator, least: int = 3) -> None:
         """New weights; words of fewer than ``least`` sentences stay unknown."""
         seen = Counter(bucket(x, self.bits) for words in sentences for x in set(words))
-        for b, n in seen.items():
+        for b, n in sorted(seen.items()):  # else the order of a set would number them
             if n >= least:
                 self.rows[b] = len(self.rows) + 1
         n = len(self.rows) + 1
@@ -60,35 +61,72 @@ class ConvNet:
 
     def stream(self, batch: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row with gaps before, between and after; start of each sentence's gap)."""
-        lengths = np.array([len(x) for x in batch], np.int64) + self.gap
-        starts = np.cumsum(lengths) - lengths
-        ids = np.zeros(int(lengths.sum()) + self.gap, np.int64)
-        for s, x in zip(starts.tolist(), batch, strict=True):
-            ids[s + self.gap : s + self.gap + len(x)] = x
+        flat = np.fromiter(chain.from_iterable(batch), np.int64)
+        return self.spaced(flat, np.fromiter(map(len, batch), np.int64, len(batch)))
+
+    def spaced(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``stream``, of sentences that lie end to end."""
+        gap = self.gap
+        starts = np.cumsum(lengths + gap) - lengths - gap
+        ids = np.zeros(len(flat) + gap * (len(lengths) + 1), np.int64)
+        ids[np.arange(len(flat)) + gap * (1 + np.repeat(np.arange(len(lengths)), lengths))] = flat
         return ids, starts
 
+    def _filters(self) -> tuple[np.ndarray, np.ndarray]:
+        """All filters as ones of the widest width, zero where they don't reach, and their offsets."""
+        widest = max(self.widths)
+        f = np.zeros((widest * self.size, len(self.widths) * self.filters), self.w["e"].dtype)
+        for i, k in enumerate(self.widths):
+            f[(widest - k) * self.size :, i * self.filters : (i + 1) * self.filters] = self.w[f"f{k}"]
+        return f, np.concatenate([self.w[f"b{k}"] for k in self.widths])
+
     def forward(self, ids: np.ndarray, starts: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of the sentences of a stream."""
-        e = self.w["e"][ids]
-        n, gap = len(ids) - self.gap, self.gap
-        tops = []
-        for k in self.widths:
-            # a window ends at each place of the sentence or of the gap after it
-            view = np.lib.stride_tricks.sliding_window_view(e[gap - k + 1 :], k, axis=0)[:n].transpose(0, 2, 1).reshape(n, -1)
-            answer = view @ self.w[f"f{k}"] + self.w[f"b{k}"]
-            top = np.maximum.reduceat(answer, starts, axis=0)
-            tops.append(np.maximum(top, 0))
-            if keep is not None:
-                keep[k] = (view, answer, top)
-        t = np.concatenate(tops, axis=1)
+        e, (f, offsets), n = self.w["e"][ids], self._filters(), len(ids) - self.gap
+        # a window ends at each place of the sentence or of the gap after it
+        view = np.lib.stride_tricks.sliding_window_view(e, max(self.widths), axis=0).transpose(0, 2, 1).reshape(n, -1)
+        answer = view @ f + offsets
+        top = np.maximum.reduceat(answer, starts, axis=0)
+        if keep is not None:
+            keep["view"], keep["answer"], keep["top"], keep["f"] = view, answer, top, f
+        return self._dense(top, keep)
+
+    def _dense(self, top: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        t = np.maximum(top, 0)
         h = np.maximum(t @ self.w["h"] + self.w["c"], 0)
         if keep is not None:
             keep["t"], keep["hid"] = t, h
         return h @ self.w["o"] + self.w["d"][0]
 
-    def predict(self, batch: list[list[int]], block: int = 2048) -> np.ndarray:
+    def _answers(self) -> list[np.ndarray]:
+        """For each distance from a window's end, what each known word there adds to the filters that reach so far."""
+        widest, size = max(self.widths), self.size
+        f, offsets = self._filters()
+        out = []
+        for d in range(widest):
+            reach = sum(k <= d for k in self.widths) * self.filters  # widths rise
+            out.append(self.w["e"] @ f[(widest - 1 - d) * size : (widest - d) * size, reach:])
+        out[0] = out[0] + offsets
+        return out
+
+    def predict(self, batch: list[list[int]]) -> np.ndarray:
         """Probabilities."""
-        out = [self.forward(*self.stream(batch[i : i + block])) for i in range(0, len(batch), block)]
+        return self.predict_flat(np.fromiter(chain.from_iterable(batch), np.int64), np.fromiter(map(len, batch), np.int64, len(batch)))
+
+    def predict_flat(self, flat: np.ndarray, lengths: np.ndarray, block: int = 20_000, answers: list[np.ndarray] | None = None) -> np.ndarray:
+        """Probabilities of sentences that lie end to end; the filters' answers are sums of what each word adds, so nothing is multiplied."""
+        tables = answers or self._answers()
+        ends, out, i, gap = np.cumsum(lengths + self.gap), [], 0, self.gap
+        cuts = np.cumsum(lengths)
+        while i < len(lengths):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - lengths[i] - gap + block, side="right")))
+            ids, starts = self.spaced(flat[cuts[i] - lengths[i] : cuts[j - 1]], lengths[i:j])
+            n = len(ids) - gap
+            answer = tables[0][ids[gap:]]
+            for d in range(1, len(tables)):
+                answer[:, -tables[d].shape[1] :] += tables[d][ids[gap - d : gap - d + n]]
+            out.append(self._dense(np.maximum.reduceat(answer, starts, axis=0)))
+            i = j
         z = np.concatenate(out) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -120,22 +158,22 @@ class ConvNet:
         g = {"o": keep["hid"].T @ dz, "d": np.array([dz.sum()], np.float32)}
         dh = dz[:, None] * self.w["o"] * (keep["hid"] > 0)
         g["h"], g["c"] = keep["t"].T @ dh, dh.sum(0)
-        dt = dh @ self.w["h"].T
-        n, gap = len(ids) - self.gap, self.gap
-        ends = np.r_[starts[1:], n]
-        owner = np.repeat(np.arange(len(starts)), ends - starts)
-        de = np.zeros((len(ids), self.size), np.float32)
+        d = (dh @ self.w["h"].T) * (keep["top"] > 0)
+        n, gap, widest = len(ids) - self.gap, self.gap, max(self.widths)
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+        best = keep["answer"] == keep["top"][owner]
+        d /= np.maximum(np.add.reduceat(best, starts, axis=0, dtype=np.int32), 1)  # ties share
+        da = np.where(best, d[owner], 0).astype(keep["view"].dtype)
+        df, db = keep["view"].T @ da, da.sum(0)
         for i, k in enumerate(self.widths):
-            view, answer, top = keep[k]
-            d = dt[:, i * self.filters : (i + 1) * self.filters] * (top > 0)
-            best = answer == top[owner]
-            da = np.where(best, d[owner], 0).astype(np.float32)
-            da /= np.maximum(np.add.reduceat(best, starts, axis=0), 1)[owner]  # ties share
-            g[f"f{k}"], g[f"b{k}"] = view.T @ da, da.sum(0)
-            dv = (da @ self.w[f"f{k}"].T).reshape(n, k, self.size)
-            for j in range(k):
-                de[gap - k + 1 + j : gap - k + 1 + j + n] += dv[:, j]
+            mine = slice(i * self.filters, (i + 1) * self.filters)
+            g[f"f{k}"], g[f"b{k}"] = df[(widest - k) * self.size :, mine], db[mine]
+        dv = (da @ keep["f"].T).reshape(n, widest, self.size)
+        de = np.zeros((len(ids), self.size), dv.dtype)
+        for j in range(widest):
+            de[j : j + n] += dv[:, j]
+        known = np.flatnonzero(ids)
         full = np.zeros_like(self.w["e"])
-        np.add.at(full, ids, de)
+        np.add.at(full, ids[known], de[known])
         g["e"] = full
         return g

@@ -101,6 +101,30 @@ def test_held_out_accuracy(model):
     assert best.min() >= 0 and best.max() <= 1
 
 
+def test_patterns_left_out_of_the_training():
+    for abusive, flagged, harmless, wrong in abuse.held_out().values():
+        assert abusive > 500 and flagged / abusive > 0.65 and wrong / harmless < 0.25
+
+
+def test_long_sentences_are_read_and_sampled_whole(model):
+    text = "harmless words " * 500 + "you filthy whore go fuck yourself " + "harmless words " * 500
+    assert model.score([text])[1][0] >= 1
+    parts = abuse._parts_of("a b " * 500 + "x" * 100_000 + " end")
+    assert max(map(len, parts)) < 2_000 and parts[0].split()[-8:] == parts[1].split()[:8] and parts[-1].endswith(" end")
+    words = abuse.tokens("a b " * 500 + "x" * 100_000 + " end", None)
+    assert sum(len(abuse.tokens(p, None)) for p in parts) == len(words) + 8 * (len(parts) - 1)
+
+
+def test_the_fit_is_made_once(monkeypatch):
+    from pagesift.llm import p8_queries
+
+    calls = []
+    monkeypatch.setattr(p8_queries, "fit", lambda sample: calls.append(sample) or object())
+    p8_queries._models.clear()
+    assert p8_queries.model_of(["a"]) is p8_queries.model_of(["a"]) and len(calls) == 1
+    p8_queries._models.clear()
+
+
 @pytest.mark.parametrize(
     "text",
     [
@@ -144,7 +168,8 @@ def test_gradients_match_differences():
     net = ConvNet(bits=10, size=4, widths=(1, 2, 3), filters=5, hidden=6)
     sentences = [["a", "b", "c"], ["d"], ["b", "b", "e", "a", "c"]]
     net.start(sentences, rng, least=1)
-    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    # offsets of 0 would put the filters' answers to gaps on the kink, where there is no derivative
+    net.w = {k: v + rng.normal(0, 0.1, v.shape) if k[0] == "b" else v.astype(np.float64) for k, v in net.w.items()}
     batch, y = [net.ids(s) for s in sentences], np.array([1.0, 0.0, 1.0])
     ids, starts = net.stream(batch)
 
@@ -155,16 +180,17 @@ def test_gradients_match_differences():
     keep = {}
     z = net.forward(ids, starts, keep)
     grads = net._gradients(ids, starts, keep, (1 / (1 + np.exp(-z)) - y) / 3)
-    for name in ("h", "o", "f2", "f3", "b1", "d"):
-        w = net.w[name]
-        at = tuple(rng.integers(0, s) for s in w.shape)
-        old = w[at]
-        w[at] = old + 1e-5
-        up = loss()
-        w[at] = old - 1e-5
-        down = loss()
-        w[at] = old
-        assert grads[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
+    for name, w in net.w.items():
+        for at in np.ndindex(w.shape):
+            if name == "e" and at[0] == 0:  # the row of gaps and unknown words stays 0
+                continue
+            old = w[at]
+            w[at] = old + 1e-6
+            up = loss()
+            w[at] = old - 1e-6
+            down = loss()
+            w[at] = old
+            assert grads[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
 def test_prediction_does_not_depend_on_the_batch():
