@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words and single signs; special tokens at both ends make two more.
 PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]"
 SPECIAL = 2
-_PATTERN = re.compile(PATTERN)
+_PATTERN = re.compile(PATTERN, re.ASCII)  # white space as the engine's own patterns have it
 
 
 def token_length(text: Column, special: int = SPECIAL) -> Column:

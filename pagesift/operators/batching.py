@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.checks import require_positive
 from pagesift.operators.ranking import rank_in_groups
 
 
 def length_buckets(df: DataFrame, key: str, length: str, buffer: int = 8192, batch: int = 64) -> DataFrame:
     """Rows with bucket (every ``buffer`` rows by key), batch and place in the batch, ordered by length within a bucket."""
+    require_positive(buffer=buffer, batch=batch)
     ranked = rank_in_groups(df, [], [F.asc(key)], "_rn").withColumn("bucket", F.floor((F.col("_rn") - 1) / buffer))
     placed = rank_in_groups(ranked, ["bucket"], [F.asc(length), F.asc(key)], "_at")
     return placed.select(

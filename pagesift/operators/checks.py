@@ -40,6 +40,11 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.unionByName(missing(b, a, key).withColumn("side", F.lit("right")))
 
 
+def misplaced(a: DataFrame, b: DataFrame, places: list[str], left: str, right: str) -> DataFrame:
+    """Places at which two ordered lists, given as rows with their place, don't hold the same value, or only one has any."""
+    return a.join(b, places, "full").where(~F.col(left).eqNullSafe(F.col(right)))
+
+
 def signature_differences(stored: str, current: dict) -> list[str]:
     """Names whose values differ between a stored JSON signature and the current one."""
     old = json.loads(stored)

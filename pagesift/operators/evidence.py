@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.checks import require_positive
 from pagesift.operators.ranking import first_in_groups
 
 
@@ -20,6 +21,7 @@ def closer_class(benign: Column, phishing: Column) -> Column:
 
 def top_chunks(chunks: DataFrame, page: str, n: int) -> DataFrame:
     """The ``n`` most important chunks of each page; ties by the smaller chunk index."""
+    require_positive(n=n)
     return first_in_groups(chunks, [page], [F.desc("importance"), F.asc("query_chunk_index")], n)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.checks import require_positive
 from pagesift.operators.ranking import first_in_groups
 
 FOUND = "query_id string, label int, chunk_id string, similarity double"
@@ -61,6 +62,7 @@ def class_neighbours(queries: DataFrame, corpus: DataFrame, k: int, *, block: in
     of about ``block`` rows; a task compares two blocks by matrix products and hands
     on ``k`` rows per query and class, so no pair is ever written out.
     """
+    require_positive(k=k, block=block)
     q_blocks = max(1, math.ceil(queries.count() / block))
     c_blocks = max(1, math.ceil(corpus.count() / block))
     q = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))

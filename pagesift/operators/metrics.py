@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.ranking import running_sums
+from pagesift.plans.stages import stage
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -65,12 +68,12 @@ def classification(df: DataFrame, by: list[str], extra: dict[str, Column] | None
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row: the chance that a positive scores above a negative, ties half; null without both classes.
 
-    Rows are counted per distinct score first, so only the distinct scores are ordered;
-    scores rounded to six places are a million at most.
+    Rows are counted per distinct score first, and the distinct ones are put in order
+    over many partitions.
     """
     per = df.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    walked = per.withColumn("b", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    per = per.withColumnRenamed(score, "score")
+    walked = running_sums(per, "score", "n", "upto").withColumn("b", F.col("upto") - F.col("n"))
     total = walked.agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(F.round(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))), 6).alias("roc_auc"))
 
@@ -95,10 +98,20 @@ def report(df: DataFrame, truth: str, predicted: str, classes: list[int]) -> Dat
 
 
 def distribution(df: DataFrame, column: str, quantiles: list[float]) -> DataFrame:
-    """count, mean, min, max and exact quantiles (linear interpolation); no row for an empty table."""
-    points = F.percentile(column, F.array(*map(F.lit, quantiles)))
-    rows = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), points.alias("q"))
+    """count, mean, min, max and exact quantiles (linear interpolation); no row for an empty table.
+
+    Values are counted first, and the distinct ones are put in order over many
+    partitions; no task holds them all.
+    """
+    per = stage(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n")), "values")
+    totals = per.agg(F.sum("n").alias("count"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    placed = running_sums(per, "x", "n", "upto")
+    positions = F.array(*[(F.col("count") - 1) * F.lit(float(q)) for q in quantiles])
+    # the values at the places on both sides of each quantile: two rows a quantile
+    asked = totals.select("count", "mean", "min", "max", F.posexplode(positions).alias("i", "at"))
+    beside = F.explode(F.array(F.struct(F.floor("at").alias("place"), (1 - (F.col("at") - F.floor("at"))).alias("part")), F.struct(F.ceil("at").alias("place"), (F.col("at") - F.floor("at")).alias("part"))))
+    asked = asked.select("*", beside.alias("b")).select("count", "mean", "min", "max", "i", "b.place", "b.part")
+    met = placed.join(F.broadcast(asked), (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    rows = met.groupBy("count", "mean", "min", "max").agg(*[F.sum(F.when(F.col("i") == i, F.col("x") * F.col("part"))).alias(f"q{i}") for i in range(len(quantiles))])
     name = lambda q: "p" + f"{q * 100:g}".replace(".", "_")
-    return rows.where("count > 0").select(
-        "count", F.round("mean", 6).alias("mean"), "min", *[F.round(F.col("q")[i], 6).alias(name(q)) for i, q in enumerate(quantiles)], "max"
-    )
+    return rows.select("count", F.round("mean", 6).alias("mean"), "min", *[F.round(f"q{i}", 6).alias(name(q)) for i, q in enumerate(quantiles)], "max")

@@ -34,6 +34,22 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], rank: s
     return joined.select(*df.columns, (F.col(at) - F.col(first) + 1 + F.col(before)).alias(rank))
 
 
+def running_sums(df: DataFrame, order: str, value: str, total: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to this one by ``order``, which is unique; no task sees all rows.
+
+    Rows are range-partitioned; a row's sum is the one within its partition plus those of
+    the partitions before, one row each.
+    """
+    part, before, local = fresh([*df.columns, total], "_part", "_before", "_local")
+    placed = stage(df.repartitionByRange(F.col(order)).withColumn(part, F.spark_partition_id()), "placed")
+    sums = placed.groupBy(part).agg(F.sum(value).alias(local))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sums = sums.select(part, F.coalesce(F.sum(local).over(earlier), F.lit(0)).alias(before))
+    here = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn(local, F.sum(value).over(here)).join(broadcast_if_small(stage(sums, "sums")), part)
+    return summed.select(*df.columns, (F.col(local) + F.col(before)).alias(total))
+
+
 def first_in_groups(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank; each map task keeps ``n`` rows of a group at most (WindowGroupLimit)."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift.operators.checks import require_positive, require_share
 from pagesift.operators.ranking import first_in_groups, rank_in_groups
 
 
@@ -15,6 +16,7 @@ def seeded_key(seed: int, key: str) -> Column:
 
 def stratified_split(df: DataFrame, stratum: str, key: str, test_share: float, seed: int = 42) -> DataFrame:
     """Every row with split 'test' for the given share of each stratum (rounded), else 'train'."""
+    require_share(test_share=test_share)
     keyed = df.withColumn("_key", seeded_key(seed, key))
     sizes = df.groupBy(stratum).agg(F.round(F.count(F.lit(1)) * test_share).cast("long").alias("_cut"))
     ranked = rank_in_groups(keyed, [stratum], [F.asc("_key"), F.asc(key)], "_rank").join(sizes, stratum)
@@ -23,6 +25,7 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_share: float, s
 
 def fixed_count_split(df: DataFrame, stratum: str, key: str, train: int, test: int, seed: int = 42) -> DataFrame:
     """The first ``train`` rows of each stratum by seeded hash, then ``test`` rows; the others are left out."""
+    require_positive(train=train, test=test)
     ranked = first_in_groups(df.withColumn("_key", seeded_key(seed, key)), [stratum], [F.asc("_key"), F.asc(key)], train + test, "_rank")
     return ranked.withColumn("split", F.when(F.col("_rank") <= train, "train").otherwise("test")).select(*df.columns, "split")
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pagesift.functions.ids import clean_id
 from pagesift.functions.labels import label_with_retry, parse_label
 from pagesift.operators import metrics, pairs
+from pagesift.operators.checks import misplaced
+from pagesift.operators.evidence import shard_number
+from pagesift.operators.ranking import rank_in_groups
 from pagesift.plans.q_votes import _METRICS
 from pagesift.sources.tables import table
 
@@ -167,3 +170,19 @@ def shard_identity(spark, folder):
     o = of(table(spark, folder, "prediction").where("top_k = 8")).withColumn("has_output", F.lit(True))
     both = i.join(o, "page_id", "full").fillna(False, ["has_input", "has_output"])
     return both.where("NOT (has_input AND has_output)")
+
+
+@query("""WITH i AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n FROM (SELECT DISTINCT lower(trim(page_id)) AS page_id FROM page_evidence)),
+o AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n FROM (SELECT DISTINCT lower(trim(page_id)) AS page_id FROM prediction WHERE top_k = 8))
+SELECT CAST(coalesce(i.n, o.n) // 250 AS INTEGER) AS shard, coalesce(i.n, o.n) % 250 AS place, i.page_id AS input_id, o.page_id AS output_id
+FROM i FULL JOIN o ON i.n = o.n WHERE i.page_id IS DISTINCT FROM o.page_id""")
+def shard_order(spark, folder):
+    """Places in the shards where inputs and outputs of the run K = 8, as ordered lists, don't hold the same page."""
+    def listed(rows, name):
+        ids = rows.select(clean_id(F.col("page_id")).alias("page_id")).distinct()
+        placed = rank_in_groups(ids, [], [F.asc("page_id")], "n")
+        return placed.select(shard_number(F.col("n"), 250).alias("shard"), ((F.col("n") - 1) % 250).alias("place"), F.col("page_id").alias(name))
+
+    i = listed(table(spark, folder, "page_evidence"), "input_id")
+    o = listed(table(spark, folder, "prediction").where("top_k = 8"), "output_id")
+    return misplaced(i, o, ["shard", "place"], "input_id", "output_id")

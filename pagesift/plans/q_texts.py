@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagesift.functions.dom import ABLATIONS, Chunker, chunk_counts, chunk_pages, strip_markup
+from pagesift.functions.dom import ABLATIONS, LIMIT, Chunker, chunk_counts, chunk_pages, strip_markup
 from pagesift.functions.fetch import authority, fetch_status
+from pagesift.functions.formats import bytes_text, duration_text
 from pagesift.functions.ids import clean_id
 from pagesift.functions.tokens import PATTERN, token_length, word_length
-from pagesift.operators import batching, metrics, prompts
+from pagesift.operators import batching, metrics, prompts, sampling
 from pagesift.operators.ranking import first_in_groups, rank_in_groups
 from pagesift.sources.tables import table
 
@@ -239,6 +240,91 @@ def length_bucket_batches(spark, folder):
     return batching.length_buckets(lengths(spark, folder).select("doc_id", "tokens"), "doc_id", "tokens", 512, 64)
 
 
+@query(f"""WITH {_LENGTHS}, r AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 512 AS bucket FROM lengths),
+b AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY tokens, doc_id) - 1 AS pos FROM r)
+SELECT doc_id, bucket, pos // 64 AS batch, pos % 64 AS place FROM b WHERE bucket * 512 + pos >= 300""")
+def batches_after_skip(spark, folder):
+    """The batches that a run sees that had taken 300 rows."""
+    batches = batching.length_buckets(lengths(spark, folder).select("doc_id", "tokens"), "doc_id", "tokens", 512, 64)
+    return batching.skip_batches(batches, 300, 64, 512).select("doc_id", "bucket", "batch", "place")
+
+
+@query("SELECT doc_id, source FROM documents")
+def bounded_shuffle_rows(spark, folder):
+    """All rows in an order shuffled within partitions: none lost, none doubled."""
+    return sampling.bounded_shuffle(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) WHEN n_chars < 1048576 THEN printf('%.2f KiB', n_chars / 1024.0) ELSE printf('%.2f MiB', n_chars / 1048576.0) END AS size,
+printf('%d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) AS lasting FROM documents WHERE n_chars IS NOT NULL AND n_chars >= 0""")
+def size_texts(spark, folder):
+    """Lengths written as sizes and, taken as seconds, as durations."""
+    docs = table(spark, folder, "documents").where("n_chars IS NOT NULL AND n_chars >= 0")
+    return docs.select("doc_id", bytes_text(F.col("n_chars")).alias("size"), duration_text(F.col("n_chars")).alias("lasting"))
+
+
+# --- chunks against SQL: what the structure doesn't decide ---
+
+_PLAIN_TEXTS = "plain AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&'))"
+
+
+@query(rf"""WITH {_PLAIN_TEXTS}, sized AS (SELECT *, {_tokens('text')} AS n, text <> '' AS given FROM plain),
+pieces AS (SELECT doc_id, regexp_extract_all(text, '(?:{PATTERN})\s*') AS t FROM sized WHERE n > {LIMIT}),
+cut AS (SELECT doc_id, i AS chunk_index, array_to_string(t[i * {LIMIT - 2} + 1:(i + 1) * {LIMIT - 2}], '') AS document FROM (SELECT *, unnest(range(0, CAST(ceil(len(t) / {LIMIT - 2}.0) AS BIGINT))) AS i FROM pieces)),
+whole AS (SELECT doc_id, 0 AS chunk_index, text AS document FROM sized WHERE given AND n <= {LIMIT})
+SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(regexp_replace(document, '\s+$', '')) AS digest, {_tokens('document')} AS tokens FROM (SELECT * FROM cut UNION ALL SELECT * FROM whole)""")
+def plain_text_chunks(spark, folder):
+    """Chunks of texts without markup, without the frame that the parser adds: long ones are cut into runs of tokens."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&')")
+    chunks = chunk_pages(docs.select(F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("html")))
+    bare = F.regexp_replace(F.regexp_replace("document", "</?(html|body)>", ""), r"^\s+", "")
+    bare = chunks.select(F.col("source_file").cast("long").alias("doc_id"), "chunk_index", F.replace(F.replace(bare, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")).alias("document"))
+    stripped = F.regexp_replace("document", r"\s+$", "")
+    return bare.where(stripped != "").select("doc_id", "chunk_index", F.md5(stripped.cast("binary")).alias("digest"), token_length(F.col("document")).alias("tokens"))
+
+
+def _visible_sql(text: str) -> str:
+    """Letters and digits of a text without tags, digested; of entities those of the tables."""
+    out = f"regexp_replace(regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g'), '</?[A-Za-z][^>]*>', '', 'g')"
+    for code in [*range(48, 58), *range(65, 91), *range(97, 123)]:
+        out = f"replace({out}, '&#{code};', '{chr(code)}')"
+    out = f"replace(replace({out}, '&nbsp;', ''), '&copy;', '')"
+    return f"md5(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+
+
+def _visible(chunks: DataFrame) -> DataFrame:
+    """(doc_id, digest): the letters and digits outside tags of all chunks of a page, in order."""
+    bare = F.regexp_replace(F.regexp_replace("document", "</?[A-Za-z][^>]*>", ""), "&(amp|lt|gt|quot|nbsp);", "")
+    rows = chunks.select(F.col("source_file").cast("long").alias("doc_id"), "chunk_index", F.regexp_replace(bare, r"[^\p{L}\p{N}]", "").alias("letters"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "letters"))), lambda x: x["letters"]), "")
+    return rows.groupBy("doc_id").agg(F.md5(ordered.cast("binary")).alias("digest"))
+
+
+@query(f"SELECT doc_id, {_visible_sql('text')} AS digest FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')")
+def dom_chunk_letters(spark, folder):
+    """The readable text of every page, put together again from its chunks: nothing is lost, doubled or moved."""
+    return _visible(chunk_pages(_pages(spark, folder)))
+
+
+_NO_LINKS = "regexp_replace(text, '(?is)<a(?:\\s[^>]*)?>.*?</a\\s*>', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_visible_sql(_NO_LINKS)} AS digest FROM documents WHERE regexp_matches({_NO_LINKS}, '[^\\s\\p{{Z}}]')")
+def tag_ablation_letters(spark, folder):
+    """The same when links are removed."""
+    return _visible(chunk_pages(_pages(spark, folder), ablate="a"))
+
+
+@query(f"SELECT count(*) AS pages, 0 AS over_limit, 0 AS gaps_in_index FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}]')")
+def dom_chunk_bounds(spark, folder):
+    """Pages with chunks, chunks over the limit, pages whose chunk numbers aren't 0, 1, 2, ..."""
+    per = chunk_pages(_pages(spark, folder)).groupBy("source_file").agg(
+        F.count_if((F.col("token_count") > LIMIT) | (F.col("token_count") != token_length(F.col("document")))).alias("over"),
+        (F.count(F.lit(1)) != F.max("chunk_index") + 1).alias("gap"), F.countDistinct("chunk_index").alias("n"), F.count(F.lit(1)).alias("rows"),
+    )
+    return per.agg(F.count(F.lit(1)).alias("pages"), F.sum("over").alias("over_limit"), F.count_if(F.col("gap") | (F.col("n") != F.col("rows"))).alias("gaps_in_index"))
+
+
 @query("""SELECT vec_id // 16 AS page, round(sum(CASE WHEN vec_id % 3 <> 0 THEN list_sum(CAST(embedding AS DOUBLE[])) ELSE 0 END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-6), 6) AS pooled_sum
 FROM embeddings GROUP BY 1""")
 def mean_pool(spark, folder):

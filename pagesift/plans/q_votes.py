@@ -280,6 +280,15 @@ def evidence_nested(spark, folder):
     return evidence.nested(ranked, "page", ["query_chunk_index", "importance", "benign", "phishing"])
 
 
+@query(_PAIRS + """SELECT page, count(*) OVER (PARTITION BY page) AS num_selected_chunks, rank, query_chunk_index, round(importance, 6) AS importance, round(benign, 6) AS benign, round(phishing, 6) AS phishing
+FROM ranked WHERE rank <= 8""")
+def evidence_nested_rows(spark, folder):
+    """The evidence documents taken apart again, place by place."""
+    chunk = F.posexplode("selected_chunks").alias("at", "c")
+    flat = evidence_nested(spark, folder).select("page", "num_selected_chunks", chunk)
+    return flat.where("c.rank = at + 1").select("page", "num_selected_chunks", "c.rank", "c.query_chunk_index", *[F.round(f"c.{c}", 6).alias(c) for c in ("importance", "benign", "phishing")])
+
+
 @query("SELECT lower(trim(page_id)) AS page, count(DISTINCT query_chunk_index) AS num_page_chunks FROM evidence_hits GROUP BY 1")
 def page_run_counts(spark, folder):
     """Query chunks per page."""

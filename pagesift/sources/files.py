@@ -40,39 +40,86 @@ def flat_metrics(df: DataFrame) -> DataFrame:
     return flat_metrics(out) if any(isinstance(f.dataType, T.StructType) for f in out.schema.fields) else out
 
 
-def read_zip_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, filename, html) of the pages in ZIP files; undecodable bytes are dropped, an archive is read by one task."""
+def file_system(path: str):
+    """(file system, path in it) of a path or uri, in driver or task; local folders, HDFS and object stores alike."""
+    from pyarrow import fs
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def read_zip_pages(spark: SparkSession, path: str, batch_bytes: int = 16 << 20) -> DataFrame:
+    """(archive, filename, html) of the pages in ZIP files; undecodable bytes are dropped.
+
+    An archive is read by one task, member by member from the shared folder, so only
+    about ``batch_bytes`` of its pages are held at once.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, place = file_system(name)
+                names, texts, size = [], [], 0
+                with fs.open_input_file(place) as raw, zipfile.ZipFile(raw) as archive:
                     for info in archive.infolist():
-                        if not info.is_dir() and "__MACOSX" not in info.filename.split("/") and _PAGE.match(info.filename):
-                            html = archive.read(info).decode("utf-8", "ignore")
-                            yield pd.DataFrame({"archive": [name], "filename": [info.filename], "html": [html]})
+                        if info.is_dir() or "__MACOSX" in info.filename.split("/") or not _PAGE.match(info.filename):
+                            continue
+                        names.append(info.filename)
+                        texts.append(archive.read(info).decode("utf-8", "ignore"))
+                        size += len(texts[-1])
+                        if size >= batch_bytes:
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(names)), pa.array(names), pa.array(texts)], schema)
+                            names, texts, size = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.string())], schema)
+
+    schema = ["archive", "filename", "html"]
+    # the content column isn't read
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return files.mapInArrow(entries, "archive string, filename string, html string")
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(entries, "archive string, filename string, html string")
+def _matrix_rows(x: np.ndarray, first: int) -> pa.RecordBatch:
+    x = np.ascontiguousarray(x, np.float32)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) + first), vectors], ["row", "vector"])
 
 
 def read_matrix(spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
-    """(row, vector) of a .npy file of float32 rows in a folder all executors share; tasks map their blocks of rows only."""
+    """(row, vector) of float32 rows: a .npy file in a folder all executors share, of which tasks map their blocks of rows only, or a folder of blocks that ``write_matrix`` wrote."""
+    if not path.endswith(".npy"):
+        return _read_blocks(spark, path)
+    path = path.removeprefix("file://")
     shape = np.load(path, mmap_mode="r").shape
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.load(path, mmap_mode="r")
         for batch in batches:
             for b in batch.column(0).to_pylist():
-                part = np.asarray(matrix[b * block : (b + 1) * block], np.float32)
-                offsets = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
-                vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + b * block), vectors], ["row", "vector"])
+                yield _matrix_rows(matrix[b * block : (b + 1) * block], b * block)
 
     blocks = -(-shape[0] // block)
     return spark.range(0, blocks, 1, max(blocks, 1)).mapInArrow(rows, "row long, vector array<float>")
 
 
+def _read_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The name of a block file tells its first row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, place = file_system(name)
+                with fs.open_input_file(place) as raw:
+                    yield _matrix_rows(np.load(io.BytesIO(raw.read())), int(re.search(r"(\d+)\.npy$", name)[1]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path")
+    return files.mapInArrow(rows, "row long, vector array<float>")
+
+
+def join_by_row(rows: DataFrame, matrix: DataFrame, row: str = "row") -> DataFrame:
+    """Rows with their vector, row i with row i of the matrix; a row without a vector, or a vector without a row, is an error of the input and kept with nulls."""
+    return rows.join(matrix, row, "full")
+
+
 def from_row(df: DataFrame, index: str, start: int) -> DataFrame:
     """The rows from index ``start`` on; the index is a column, so the filter reaches the scan."""
     return df.where(F.col(index) >= start)

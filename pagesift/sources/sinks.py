@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
 import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagesift.operators.checks import require_positive, signature_differences
 from pagesift.plans.names import fresh
 from pagesift.plans.stages import stage
+from pagesift.sources.files import file_system
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header."""
-    df.write.mode(mode).csv(path, header=True, escape='"')
+    """CSV with a header; blanks at the ends of values are kept."""
+    df.write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -29,6 +33,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def write_shards(df: DataFrame, path: str, size: int = 250) -> None:
     """Gzip JSON lines, at most ``size`` rows a file; fails where something is already written. Files appear when the job has ended."""
+    require_positive(size=size)
     df.write.mode("errorifexists").option("maxRecordsPerFile", size).option("compression", "gzip").json(path)
 
 
@@ -71,56 +76,83 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 def write_zip_parts(pages: DataFrame, folder: str, most_bytes: int = 400 << 20) -> DataFrame:
     """ZIP files of pages (filename, html) in a shared folder, a new one when ``most_bytes`` are reached: (archive, pages, bytes).
 
-    Each task writes its own parts, named by partition; a repeated task writes the
-    same names again, so a lost executor leaves no doubles.
+    Each task writes its own parts, named by partition, aside and then moved into place;
+    a repeated task writes the same names again, so a lost executor leaves no doubles.
     """
-    os.makedirs(folder, exist_ok=True)
-    numbered = pages.select("filename", "html", F.spark_partition_id().alias("pid"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, archive, name, count, pid = 0, None, None, 0, None
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = file_system(folder)
+        fs.create_dir(place, recursive=True)
+        pid, part, open_ = TaskContext.get().partitionId(), 0, None
 
-        def close():
+        def close() -> pa.RecordBatch:
+            name, raw, archive, count = open_
             archive.close()
-            os.replace(name + ".tmp", name)
-            return pd.DataFrame({"archive": [name], "pages": [count], "bytes": [os.path.getsize(name)]})
-
-        for pdf in batches:
-            for filename, html, p in pdf.itertuples(index=False):
-                pid = p
-                if archive is None:
-                    name = os.path.join(folder, f"part-{pid:05d}-{part:04d}.zip")
-                    archive, count = zipfile.ZipFile(name + ".tmp", "w", zipfile.ZIP_DEFLATED), 0
-                archive.writestr(filename, (html or "").encode())
-                count += 1
-                if archive.fp.tell() >= most_bytes:
+            size = raw.tell()
+            raw.close()
+            fs.move(f"{name}.tmp", name)
+            return pa.RecordBatch.from_pylist([{"archive": f"{folder}/{name.rpartition('/')[2]}", "pages": count, "bytes": size}])
+
+        for batch in batches:
+            for filename, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if open_ is None:
+                    name = f"{place}/part-{pid:05d}-{part:04d}.zip"
+                    raw = fs.open_output_stream(f"{name}.tmp")
+                    open_ = [name, raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED), 0]
+                open_[2].writestr(filename, (html or "").encode())
+                open_[3] += 1
+                if open_[1].tell() >= most_bytes:
                     yield close()
-                    archive, part = None, part + 1
-        if archive is not None:
+                    open_, part = None, part + 1
+        if open_ is not None:
             yield close()
 
-    return stage(numbered.mapInPandas(write, "archive string, pages long, bytes long"), "archives")
+    return stage(pages.select("filename", "html").mapInArrow(write, "archive string, pages long, bytes long"), "archives")
 
 
 def write_matrix(df: DataFrame, folder: str, dim: int, block: int = 65_536) -> DataFrame:
-    """(block, rows) of .npy files of float32 rows in index order; ``df`` has row (dense from 0) and vector."""
-    os.makedirs(folder, exist_ok=True)
+    """(block, rows) of .npy files of float32 rows in index order, named by their first row; ``df`` has row (dense from 0) and vector."""
 
     def save(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fs, place = file_system(folder)
+        fs.create_dir(place, recursive=True)
         pdf = pdf.sort_values("row")
         x = np.stack(pdf["vector"].to_numpy()).astype(np.float32)
         if x.shape[1] != dim:
             raise ValueError(f"rows of {x.shape[1]} numbers, not {dim}")
-        name = os.path.join(folder, f"block-{key[0]:06d}.npy")
-        with open(name + ".tmp", "wb") as out:
-            np.save(out, x)
-        os.replace(name + ".tmp", name)
+        name, content = f"{place}/block-{key[0] * block:012d}.npy", io.BytesIO()
+        np.save(content, x)
+        with fs.open_output_stream(f"{name}.tmp") as out:
+            out.write(content.getbuffer())
+        fs.move(f"{name}.tmp", name)
         return pd.DataFrame({"block": [key[0]], "rows": [len(x)]})
 
+    require_positive(dim=dim, block=block)
     rows = df.withColumn("_b", F.floor(F.col("row") / block))
     return stage(rows.groupBy("_b").applyInPandas(save, "block long, rows long"), "blocks")
 
 
+def resume_or_build(spark: SparkSession, folder: str, signature: dict, build: Callable[[], DataFrame], restart: bool = False) -> DataFrame:
+    """The result in ``folder`` if it was made by a job of this ``signature``; else ``build`` makes it.
+
+    The signature is stored before the result, so a job that broke off is taken up as its
+    own. A result of another signature is an error that names what differs, or with
+    ``restart`` is made anew.
+    """
+    stored = read_json(spark, f"{folder}/signature.json")
+    if stored is not None:
+        differ = signature_differences(json.dumps(stored), signature)
+        if differ and not restart:
+            raise ValueError(f"{folder} holds a result of another job: {', '.join(differ)}")
+        if not differ:
+            jvm, done, fs = _fs(spark, f"{folder}/result/_SUCCESS")
+            if fs.exists(done):
+                return spark.read.parquet(f"{folder}/result")
+    write_json(spark, signature, f"{folder}/signature.json")
+    build().write.mode("overwrite").parquet(f"{folder}/result")
+    return spark.read.parquet(f"{folder}/result")
+
+
 def upsert(spark: SparkSession, folder: str, rows: DataFrame, key: str, order: str, partition: str, *, buckets: int = 64) -> str:
     """Merge ``rows`` into the table of ``folder``: the last row of each key by ``order`` stays. Returns the new version's path.
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pagesift.functions.dom import chunk_pages
 from pagesift.plans.stages import shared_folder
+from pagesift.sources.sinks import open_collection, upsert
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1_000) -> DataFrame:
@@ -34,20 +35,23 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 def incremental_best(spark: SparkSession, hits: DataFrame, folder: str | None = None) -> DataFrame:
     """Best similarity of every (page, class) over a stream of hits (page, label, similarity), kept as running state.
 
-    The state is one row per page and class. The result table is replaced as a whole
-    after each batch, under the batch's number, so a repeated batch changes nothing.
+    The state is one row per page and class. A batch merges only the rows that changed
+    into a collection, of which it rewrites the buckets they fall into; a repeated batch
+    merges the same rows again and changes nothing.
     """
     folder = folder or f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     best = hits.groupBy("page", "label").agg(F.max("similarity").alias("best"), F.count(F.lit(1)).alias("hits"))
-    seen: list[int] = []
+    schema = "page string, label int, best double, hits long"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
-        seen.append(number)
-
-    run_available(best, "", f"{folder}/checkpoint", "complete", keep)
-    schema = "page string, label int, best double, hits long"
-    return spark.read.schema(schema).parquet(f"{folder}/batch-{seen[-1]}") if seen else spark.createDataFrame([], schema)
+        rows = batch.withColumn("pair", F.to_json(F.struct("page", "label"))).withColumn("batch", F.lit(number))
+        upsert(spark, f"{folder}/best", rows, "pair", "batch", "label")
+
+    run_available(best, "", f"{folder}/checkpoint", "update", keep)
+    try:
+        return open_collection(spark, f"{folder}/best").select("page", "label", "best", "hits")
+    except FileNotFoundError:  # the stream had nothing
+        return spark.createDataFrame([], schema)
 
 
 def incremental_chunks(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -56,6 +56,32 @@ def test_matrix(spark, tmp_path):
     assert np.array_equal(np.concatenate([np.load(p) for p in sorted((tmp_path / "out").glob("*.npy"))]), x)
 
 
+def test_matrix_blocks_are_read_back_and_joined(spark, tmp_path):
+    rows = spark.range(10).select(F.col("id").alias("row"), F.array(*[(F.col("id") + i).cast("float") for i in range(3)]).alias("vector"))
+    sinks.write_matrix(rows, f"file://{tmp_path}/m", 3, block=4)
+    back = files.join_by_row(rows.select("row", (F.col("row") * 2).alias("x")), files.read_matrix(spark, f"file://{tmp_path}/m"))
+    assert {r["row"]: (r["x"], r["vector"]) for r in back.collect()} == {i: (2 * i, [i, i + 1.0, i + 2.0]) for i in range(10)}
+    with pytest.raises(ValueError):
+        sinks.write_matrix(rows, f"file://{tmp_path}/n", 0)
+
+
+def test_jobs_resume_by_signature(spark, tmp_path):
+    folder, made = f"file://{tmp_path}/job", []
+
+    def build():
+        made.append(1)
+        return spark.range(len(made))
+
+    assert sinks.resume_or_build(spark, folder, {"k": 1}, build).count() == 1
+    assert sinks.resume_or_build(spark, folder, {"k": 1}, build).count() == 1 and len(made) == 1
+    with pytest.raises(ValueError, match="another job: k"):
+        sinks.resume_or_build(spark, folder, {"k": 2}, build)
+    assert sinks.resume_or_build(spark, folder, {"k": 2}, build, restart=True).count() == 2
+    # a job that broke off before its result was whole is made again
+    (tmp_path / "job" / "result" / "_SUCCESS").unlink()
+    assert sinks.resume_or_build(spark, folder, {"k": 2}, build).count() == 3
+
+
 def test_json_and_flat_metrics(spark, tmp_path):
     path = f"file://{tmp_path}/m/metrics.json"
     sinks.write_json(spark, {"num_pages": 3, "valid_only": {"precision": 0.5, "confusion_matrix": {"tn": 1}}}, path)

@@ -158,6 +158,38 @@ def test_rank_in_groups_equals_window(spark):
     assert ranking.rank_in_groups(rows.where("false"), ["g"], [F.asc("x")]).count() == 0
 
 
+def test_running_sums_and_quantiles_over_partitions(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500 / 4).alias("x"), (F.col("id") % 3 + 1).alias("n")).repartition(7)
+    got = [(r["x"], r["n"], r["upto"]) for r in ranking.running_sums(rows, "x", "n", "upto").orderBy("x").collect()]
+    total = 0
+    for _, n, upto in got:
+        total += n
+        assert upto == total
+    r = metrics.distribution(rows.union(spark.createDataFrame([(None, 1)], "x double, n long")), "x", [0.0, 0.3337, 1.0]).first()
+    assert (r["count"], r["min"], r["max"], r["p0"], r["p33_37"], r["p100"]) == (500, 0.0, 124.75, 0.0, round(499 * 0.3337 / 4, 6), 124.75)
+
+
+def test_bounded_shuffle_keeps_rows_in_their_partitions(spark):
+    rows = spark.range(400, numPartitions=4).withColumn("p", F.spark_partition_id())
+    got = sampling.bounded_shuffle(rows, 3).withColumn("q", F.spark_partition_id()).collect()
+    assert all(r["p"] == r["q"] for r in got) and sorted(r["id"] for r in got) == list(range(400))
+    assert [r["id"] for r in got] != list(range(400))
+
+
+def test_batches_are_skipped_by_rows(spark):
+    batches = batching.length_buckets(spark.range(50).select("id", (F.col("id") * 13 % 17).alias("n")), "id", "n", 20, 8)
+    left = batching.skip_batches(batches, 28, 8, 20)
+    assert left.count() == 22 and left.where("bucket = 1").agg(F.min("batch")).first()[0] == 1
+    with pytest.raises(ValueError):
+        batching.length_buckets(spark.range(5).select("id", F.col("id").alias("n")), "id", "n", 0)
+
+
+def test_misplaced_rows(spark):
+    a, b = (spark.createDataFrame(list(enumerate(x)), f"place int, {n} string") for x, n in (("abc", "l"), ("acbd", "r")))
+    got = {(r["place"], r["l"], r["r"]) for r in checks.misplaced(a, b, ["place"], "l", "r").collect()}
+    assert got == {(1, "b", "c"), (2, "c", "b"), (3, None, "d")}
+
+
 def test_splits_are_disjoint_and_sized(spark):
     rows = spark.range(500).select("id", (F.col("id") % 2).alias("label"))
     fixed = sampling.fixed_count_split(rows, "label", "id", 50, 20)
