@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: dict[str, SparkSession] = {}
 
@@ -27,17 +27,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def stage(df: DataFrame, name: str = "stage", metrics: dict[str, Column] | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table.
+
+    ``metrics``: aggregates of the rows, taken as they are written; see ``metrics_of``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if metrics else None
+    rows = df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if metrics else df
+    rows.write.parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    if metrics:
+        got = seen.get
+        # where the optimiser saw that nothing is written, nothing was observed
+        out._metrics = got if got.keys() >= metrics.keys() else out.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
     return out
 
 
+def metrics_of(df: DataFrame) -> dict:
+    """The aggregates taken when this stage was written."""
+    return df._metrics
+
+
 def drop_stage(df: DataFrame | None) -> None:
     """Delete a stage that nothing reads any more (superseded iterations)."""
     path = getattr(df, "_stage_path", None)
