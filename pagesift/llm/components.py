@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.plans.stages import drop_stage, stage
+from pagesift.plans.stages import drop_stage, metrics_of, stage
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str, hot_rows: int, max_hot: int) -> DataFrame:
+def join_hot(rows: DataFrame, side: DataFrame, key: str, hot_rows: int, max_hot: int, largest: int | None = None) -> DataFrame:
     """``rows`` inner-joined with ``side`` (unique in ``key``, with its number of rows in ``_n``), whatever the skew of ``key``.
 
     The keys of more than ``hot_rows`` rows, at most ``max_hot`` of them, are joined
     by broadcasting just these (so never more than ``max_hot`` rows); a key beyond
-    holds at most 1/max_hot of the rows and takes the shuffled join.
+    holds at most 1/max_hot of the rows and takes the shuffled join. ``largest``: the
+    most rows of a key, if known; then no hot keys are looked for in vain.
     """
-    hot = [
+    hot = [] if largest is not None and largest <= hot_rows else [
         r[0]
         for r in side.where(F.col("_n") > hot_rows).orderBy(F.desc("_n"), key).limit(max_hot).select(key).collect()
     ]
@@ -45,14 +46,14 @@ def connected_components(
     spark = edges.sparkSession
     clean = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src IS NOT NULL AND dst IS NOT NULL")
     nodes = stage(clean.selectExpr("explode(array(src, dst)) AS node").distinct(), "nodes")
-    current = stage(_oriented(clean), "edges")
-    mark = _mark(current)
+    current = stage(_oriented(clean), "edges", _mark())
+    mark = metrics_of(current)
     for _ in range(max_rounds):
         large = _star(current, True, hot_rows, max_hot)
         drop_stage(current)
         current = _star(large, False, hot_rows, max_hot)
         drop_stage(large)
-        before, mark = mark, _mark(current)
+        before, mark = mark, metrics_of(current)
         if mark == before:
             break
     else:
@@ -66,9 +67,9 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free checksum of them."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first())
+def _mark() -> dict[str, Column]:
+    """Number of edges and an order-free checksum of them, taken as they are written: equal marks, equal edges."""
+    return {"edges": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))}
 
 
 def _star(edges: DataFrame, large: bool, hot_rows: int, max_hot: int) -> DataFrame:
@@ -76,14 +77,15 @@ def _star(edges: DataFrame, large: bool, hot_rows: int, max_hot: int) -> DataFra
     down = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
     both = down.unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))) if large else down
     lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    lowest = stage(lowest.withColumn("m", F.least("u", "m")), "lowest")
+    lowest = stage(lowest.withColumn("m", F.least("u", "m")), "lowest", {"largest": F.max("_n")})
+    largest = metrics_of(lowest)["largest"] or 0
     if large:
-        linked = join_hot(both.where("v > u"), lowest, "u", hot_rows, max_hot).select(
+        linked = join_hot(both.where("v > u"), lowest, "u", hot_rows, max_hot, largest).select(
             F.col("v").alias("src"), F.col("m").alias("dst")
         )
     else:
-        joined = join_hot(both, lowest, "u", hot_rows, max_hot).select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        joined = join_hot(both, lowest, "u", hot_rows, max_hot, largest).select(F.col("v").alias("src"), F.col("m").alias("dst"))
         linked = joined.unionByName(lowest.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-    out = stage(_oriented(linked), "edges")
+    out = stage(_oriented(linked), "edges", _mark())
     drop_stage(lowest)
     return out
