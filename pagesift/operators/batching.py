@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,19 @@ def mse(a: Column, b: Column) -> Column:
     """Mean squared difference of two vectors."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, d: s + d)
     return total / F.size(a)
+
+
+def train_distributed(train: Callable, *args, processes: int = 1, use_gpu: bool = False, local: bool = False):
+    """Run ``train(*args)`` in ``processes`` processes of the cluster and return what the first one gives.
+
+    ``train`` reads its batches (see ``length_buckets`` and ``skip_batches``) from a
+    written table and its share of them by the rank of its process. The framework that
+    it trains with isn't part of this library; without it this raises an error.
+    """
+    require_positive(processes=processes)
+    try:
+        import torch  # noqa: F401
+        from pyspark.ml.torch.distributor import TorchDistributor
+    except ImportError as e:
+        raise RuntimeError("training needs torch on driver and executors") from e
+    return TorchDistributor(num_processes=processes, local_mode=local, use_gpu=use_gpu).run(train, *args)

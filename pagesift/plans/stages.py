@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -59,6 +61,17 @@ def drop_stage(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def stages_of_a_job() -> Iterator[None]:
+    """Deletes at its end the stages that were written within it; results must have been written or collected by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(_written.pop(path), path)
+
+
 def drop_all_stages() -> None:
     """Delete every stage this driver has written; results that still read one can't be read any more."""
     _clean()

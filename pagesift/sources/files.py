@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import http.client
 import io
 import re
+import socket
+import ssl
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
@@ -125,16 +129,70 @@ def from_row(df: DataFrame, index: str, start: int) -> DataFrame:
     return df.where(F.col(index) >= start)
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], tuple[int | None, bytes, str | None, str | None]]) -> DataFrame:
-    """(row, code, error, message, body) of urls (row, url); ``fetch`` gives (code, body, error, message) and is made per task.
+class HttpSession:
+    """GET over kept connections, one per host, with a timeout for connecting and one for reading.
 
-    The body is kept for code 200 only. Connections are the business of ``fetch``,
-    which lives as long as its partition.
+    Gives (code, body, error, message); redirects aren't followed, their code is the answer.
+    """
+
+    def __init__(self, connect: float = 3.0, read: float = 5.0, headers: dict[str, str] | None = None):
+        self.connect, self.read, self.headers = connect, read, headers or {"User-Agent": "pagesift"}
+        self.open: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+    def __call__(self, url: str) -> tuple[int | None, bytes, str | None, str | None]:
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.netloc:
+            return None, b"", "InvalidURL", url
+        at = parts.scheme, parts.netloc.rpartition("@")[2]
+        target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        kept, stage_ = at in self.open, "ReadTimeout"
+        try:
+            link = self.open.get(at)
+            if link is None:
+                stage_ = "ConnectTimeout"
+                kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+                link = kind(at[1], timeout=self.connect)
+                link.connect()
+                self.open[at], stage_ = link, "ReadTimeout"
+            link.sock.settimeout(self.read)
+            link.request("GET", target, headers=self.headers)
+            answer = link.getresponse()
+            body = answer.read()
+            if answer.will_close:
+                self._drop(at)
+            return answer.status, body, None, None
+        except Exception as e:  # what went wrong is a result
+            self._drop(at)
+            if kept and isinstance(e, (http.client.RemoteDisconnected, BrokenPipeError, ConnectionResetError)):
+                return self(url)  # the host had closed a kept connection: once more on a new one
+            if isinstance(e, TimeoutError):
+                return None, b"", stage_, str(e)
+            if isinstance(e, ssl.SSLError):
+                return None, b"", "SSLError", str(e)
+            if isinstance(e, (http.client.InvalidURL, UnicodeError, ValueError)):
+                return None, b"", "InvalidURL", str(e)
+            name = "NewConnectionError: Name or service not known" if isinstance(e, socket.gaierror) else type(e).__name__
+            return None, b"", "ConnectionError", f"{name}: {e}"
+
+    def _drop(self, at: tuple[str, str]) -> None:
+        link = self.open.pop(at, None)
+        if link is not None:
+            link.close()
+
+
+def fetch_pages(
+    urls: DataFrame, fetch: Callable[[str], tuple[int | None, bytes, str | None, str | None]] | None = None, session: Callable[[], Callable] = HttpSession
+) -> DataFrame:
+    """(row, code, error, message, body) of urls (row, url); ``fetch`` gives (code, body, error, message).
+
+    Without ``fetch`` every task makes a ``session`` of its own and keeps its
+    connections for all its rows. The body is kept for code 200 only.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = fetch or session()
         for pdf in batches:
-            out = [fetch(u) for u in pdf["url"]]
+            out = [get(u) for u in pdf["url"]]
             yield pd.DataFrame({
                 "row": pdf["row"],
                 "code": pd.array([o[0] for o in out], dtype="Int32"),

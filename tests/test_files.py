@@ -141,6 +141,73 @@ def test_fetch_with_injected_client(spark):
     assert (bytes(got[1]["body"]), got[2]["body"], got[3]["error"]) == (b"x", None, "ConnectTimeout")
 
 
+def test_sessions_keep_connections_and_name_failures(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    opened = []
+
+    class Pages(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            opened.append(1)
+            super().setup()
+
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(1.5)
+            body = self.path.encode()
+            self.send_response(404 if self.path == "/none" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        session = files.HttpSession(connect=1, read=0.5)
+        assert [session(f"{base}/{i}?q=1")[:2] for i in range(5)] == [(200, f"/{i}?q=1".encode()) for i in range(5)] and len(opened) == 1
+        assert session(f"{base}/slow")[2] == "ReadTimeout" and session(f"{base}/none")[0] == 404
+        assert session("http://127.0.0.1:9/")[2] == "ConnectionError" and session("ftp://x/")[2] == session("")[2] == "InvalidURL"
+        rows = spark.createDataFrame([(1, f"{base}/a"), (2, f"{base}/none"), (3, "nonsense")], "row long, url string")
+        got = {r["row"]: (r["code"], r["error"], r["body"] and bytes(r["body"])) for r in files.fetch_pages(rows).collect()}
+        assert got == {1: (200, None, b"/a"), 2: (404, None, None), 3: (None, "InvalidURL", None)}
+    finally:
+        server.shutdown()
+
+
+def test_stages_of_a_job_are_deleted(spark):
+    from pagesift.plans import stages
+
+    before = set(stages._written)
+    with stages.stages_of_a_job():
+        out = stages.stage(spark.range(3), "gone", {"rows": F.count(F.lit(1)), "largest": F.max("id")})
+        assert stages.metrics_of(out) == {"rows": 3, "largest": 2}
+        empty = stages.stage(spark.range(3).where("false"), "gone", {"rows": F.count(F.lit(1))})
+        assert stages.metrics_of(empty) == {"rows": 0} and empty.count() == 0
+    assert set(stages._written) == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        out.count()
+
+
+def test_training_needs_its_framework():
+    from pagesift.operators.batching import train_distributed
+
+    with pytest.raises(ValueError):
+        train_distributed(print, processes=0)
+    try:
+        import torch  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="torch"):
+            train_distributed(print)
+
+
 def test_append_and_csv_sink(spark, tmp_path):
     rows = spark.range(3)
     sinks.append_jsonl(rows, str(tmp_path / "j"))
