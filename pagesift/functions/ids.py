@@ -18,14 +18,24 @@ def clean_id(column: Column) -> Column:
     return F.lower(F.btrim(column, F.lit(BLANKS)))
 
 
-def page_number(filename: Column) -> Column:
-    """Digits of the file name's stem as a number; null where the stem has none."""
+def _digits(filename: Column) -> Column:
     name = F.regexp_replace(filename, r"^.*[/\\]", "")
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    digits = F.regexp_replace(stem, r"[^0-9]", "")
+    return F.regexp_replace(stem, r"[^0-9]", "")
+
+
+def page_number(filename: Column) -> Column:
+    """Digits of the file name's stem as a number; null where the stem has none, or a number beyond 64 bits (see ``long_page_number``)."""
+    digits = _digits(filename)
     return F.when(F.length(digits) > 0, digits.try_cast("bigint"))
 
 
+def long_page_number(filename: Column) -> Column:
+    """A page number beyond 64 bits as its digits, without leading zeros; null for any other name."""
+    digits = F.regexp_replace(_digits(filename), "^0+", "")
+    return F.when((F.length(digits) >= 19) & digits.try_cast("bigint").isNull(), digits)
+
+
 def chunk_id(filename: Column, index: Column) -> Column:
     """File id, underscore, chunk index."""
     return F.concat_ws("_", page_id(filename), index.cast("string"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagesift.functions.dom import ABLATIONS, Chunker, chunk_pages, parse
 from pagesift.functions.fetch import authority, connection_error_class
-from pagesift.functions.ids import page_id, page_number
+from pagesift.functions.ids import long_page_number, page_id, page_number
 from pagesift.functions.labels import label_with_retry, parse_label
 from pagesift.functions.tokens import PatternTokenizer, RankTokenizer, count_tokens
 from pagesift.functions.urls import host_of, site_of
@@ -111,6 +111,13 @@ def test_ids(spark):
         assert values(spark, page_number(F.lit(name))) == want
 
 
+def test_page_numbers_beyond_64_bits(spark):
+    big = "0009223372036854775808"
+    for name, number, long in (("x/9223372036854775807.txt", 2**63 - 1, None), (f"a/{big}.html", None, big.lstrip("0")), ("12.txt", 12, None), ("a.txt", None, None), (None, None, None)):
+        name = F.lit(name).cast("string")
+        assert (values(spark, page_number(name)), values(spark, long_page_number(name))) == (number, long)
+
+
 @pytest.mark.parametrize(
     "url, host, site",
     [
