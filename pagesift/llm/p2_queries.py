@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.ids import clean_id, page_id, page_number
+from pagesift.functions.ids import clean_id, long_page_number, page_id, page_number
 from pagesift.functions.urls import site
 from pagesift.llm.group_split import record_groups, split_of
 from pagesift.plans.stages import stage
@@ -13,14 +13,17 @@ from pagesift.sources.tables import table
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Listed rows with a file name: filename, page_id, page, site, group_no, linked (the group, also where it has no number)."""
+    """Listed rows with a file name: filename, page_id, page, site, group_no, linked (the group, also where it has no number).
+
+    Page numbers beyond 64 bits link their rows as well, but can't be a group's number.
+    """
     rows = (
         table(spark, folder, "test_1000_balanced_seed42")
         .where("filename IS NOT NULL")
-        .select("filename", page_id(F.col("filename")).alias("page_id"), page_number(F.col("filename")).alias("page"), site("url").alias("site"))
+        .select("filename", page_id(F.col("filename")).alias("page_id"), page_number(F.col("filename")).alias("page"), long_page_number(F.col("filename")).alias("long_page"), site("url").alias("site"))
         .distinct()
     )
-    return stage(record_groups(rows, "page", ["site"], component="linked"), "listed")
+    return stage(record_groups(rows, "page", ["site", "long_page"], component="linked"), "listed")
 
 
 def found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.functions.ids import BLANKS, page_number
+from pagesift.functions.ids import BLANKS, long_page_number, page_number
 from pagesift.llm.target_sample import target_sample
 from pagesift.plans.joins import broadcast_if_small
 from pagesift.sources.tables import table
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Page numbers with the one label and the one lang that their rows agree on."""
+    """Page numbers (one beyond 64 bits by a negative hash) with the one label and the one lang that their rows agree on."""
     lang = F.lower(F.btrim("lang", F.lit(BLANKS)))
     rows = table(spark, folder, "test_1000_balanced_seed42").where("filename IS NOT NULL")
-    rows = rows.select(page_number(F.col("filename")).alias("page"), "label", lang.alias("lang")).where("page IS NOT NULL")
+    long = -F.shiftrightunsigned(F.xxhash64(long_page_number(F.col("filename"))), 1) - 1
+    page = F.coalesce(page_number(F.col("filename")), F.when(long_page_number(F.col("filename")).isNotNull(), long))
+    rows = rows.select(page.alias("page"), "label", lang.alias("lang")).where("page IS NOT NULL")
     agreed = rows.groupBy("page").agg(
         F.min("label").alias("label"), F.max("label").alias("label_max"), F.min("lang").alias("lang"), F.max("lang").alias("lang_max")
     )

@@ -163,6 +163,20 @@ def test_sites_without_page_numbers_stay_together(spark, tmp_path):
     assert len({got[n][0] for n in names}) == 4
 
 
+def test_page_numbers_beyond_64_bits_link_and_count(spark, tmp_path):
+    from pagesift.llm import p2_queries, p4_queries
+
+    names = ["a/99999999999999999999.html", "b/099999999999999999999.txt", "99999999999999999998.txt", "7.txt"]
+    urls = ["https://one.org/", "https://two.org/", "https://three.org/", "https://two.org/x"]
+    pq.write_table(pa.table({"filename": names, "url": urls, "label": [1] * 4, "lang": ["en"] * 4}), tmp_path / "test_1000_balanced_seed42.parquet")
+    pq.write_table(pa.table({"page_id": ["x"]}), tmp_path / "prediction.parquet")
+    got = {r["filename"]: (r["group_no"], r["linked"]) for r in p2_queries.listed(spark, str(tmp_path)).collect()}
+    assert got[names[0]] == got[names[1]] == got[names[3]] and got[names[0]][0] == 7
+    assert got[names[2]][0] is None and got[names[2]][1] not in (None, got[names[0]][1])
+    pages = [r["page"] for r in p4_queries.pages(spark, str(tmp_path)).collect()]
+    assert len(pages) == len(set(pages)) == 3 and 7 in pages
+
+
 def test_split_shares(spark):
     counts = {r["split"]: r["count"] for r in spark.range(20_000).groupBy(split_of(F.col("id")).alias("split")).count().collect()}
     assert abs(counts["train"] - 16_000) < 300 and abs(counts["test"] - 2_000) < 200
