@@ -45,7 +45,7 @@ def document_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of different texts found with as many sketch words as the pigeonhole needs, those of them that p5_found finds, recall."""
+    """Pairs of different texts found by the words of sketches, those of them that p5_found finds by runs, recall."""
     texts = chunk_texts(spark, folder)
     true, _ = near_duplicate_pairs(texts, **RULES, exact=True)
     found, _ = near_duplicate_pairs(texts, **RULES)

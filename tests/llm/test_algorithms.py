@@ -19,7 +19,7 @@ from pagesift.llm.group_split import record_groups, split_of
 from pagesift.llm.packing import best_fit, pack, token_pieces
 from pagesift.llm.target_sample import rake, target_sample, whole_draws
 from pagesift.llm.top_n import heavy_groups, parted, salted, top_n_per_group
-from pagesift.llm.words import words_of
+from pagesift.llm.words import distinct_runs, word_hashes, words_of
 
 # --- 1: top N of every group ---
 
@@ -397,6 +397,58 @@ def test_near_duplicates_equal_brute_force(spark, width, t, hot):
     assert {(r[0], r[1]) for r in nd.expand_pairs(whole, members).collect()} == want
 
 
+def run_values(words):
+    return distinct_runs(*word_hashes([words]), 3)[1]
+
+
+def text_with(rng, start, runs, wanted):
+    """``start`` and as many more words, each of whose new runs has a cell that is ``wanted``."""
+    words = list(start)
+    while runs:
+        words.append(f"w{rng.randint(0, 10**9)}")
+        if len(words) > 2 and not wanted(int(run_values(words[-3:])[0] % np.uint64(384))):
+            words.pop()
+        else:
+            runs -= len(words) > 2
+    return words
+
+
+def test_pairs_whose_first_cells_all_disagree_are_found(spark):
+    # all 24 runs that only one of the two texts has are in the first 60 of 384 cells, all 78 common ones behind the first 100
+    rng = random.Random(5)
+    common = text_with(rng, [], 78, lambda cell: cell >= 100)
+    texts = [(k, " ".join(text_with(rng, common, 24, lambda cell: cell < 60))) for k in (1, 2)]
+    assert pairs_by_force(texts, 3, 0.6, 20) == {(1, 2)}
+    df = spark.createDataFrame(texts, "key long, text string")
+    for exact in (False, True):
+        pairs, members = nd.near_duplicate_pairs(df, width=3, threshold=0.6, exact=exact)
+        assert [tuple(r) for r in nd.expand_pairs(pairs, members).collect()] == [(1, 2)]
+
+
+def test_runs_of_a_template_come_last(spark):
+    head = [f"h{i}" for i in range(52)]
+    texts = [(i, " ".join(head + [f"u{i}x{j}" for j in range(50)])) for i in range(60)]
+    df = spark.createDataFrame(texts, "key long, text string").withColumn("raw", F.xxhash64("text")).repartition(5)
+    signed = nd.signatures(df, 3, 0.6, 20)
+    assert {len(r[0]) for r in signed.select("sketch").collect()} == {41}
+    assert nd.shared_words(signed).count() == 0
+
+
+def test_words_of_all_texts_are_counted(spark):
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(2**63), 2**63, 9_000)
+    words[:900] = words[0]
+    words[900:1_800:2] = words[901]
+    rows = [(words[i : i + 5].tolist(),) for i in range(0, len(words), 5)] + [([],)]
+    df = spark.createDataFrame(rows, "words array<long>").repartition(4)
+    count = np.bincount((words.view(np.uint64) >> np.uint64(50)).astype(np.int64), minlength=1 << 14)
+    assert count.max() >= 900
+    for hot in (0, 2, 16):
+        want = [math.ceil(4 * math.log2(max(c, hot, 1) / max(hot, 1))) for c in count.tolist()]
+        assert nd.slot_levels(df, 14, hot).tolist() == want
+    assert not nd.slot_levels(df.limit(0), 14, 16).any()
+
+
 def test_frequent_words_are_counted_without_a_gather(spark):
     rows = [(i, [7, 1_000 + i, 2_000 + i // 2]) for i in range(600)] + [(i, [7, 2_000 + i // 2]) for i in range(50)]
     signed = spark.createDataFrame(rows, "text_hash long, sketch array<long>").repartition(7)
