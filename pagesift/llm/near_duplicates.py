@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesift.llm.components import connected_components, join_hot
@@ -43,6 +44,18 @@ LOAD = 1.5  # words of a sketch by runs of the largest text of its band
 MOST_SLOT_BITS, PART = 22, 4_096
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each query within are deleted as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def band_of(n: np.ndarray) -> np.ndarray:
     """Number of the size band of n >= 1 runs."""
     edges = BAND ** np.arange(1, 32, dtype=np.float64)
@@ -355,20 +368,22 @@ def near_duplicate_pairs(
     """
     rows = texts.select(F.col("key").cast("long"), F.col("text").cast("string")).where("key IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("raw", F.xxhash64("text"))
-    signed = signatures(rows, width, threshold, min_words, by_sketch=exact)
-    members = stage(signed.select("key", "raw", "text_hash", "n_words").distinct(), "members")
-    found = stage(candidates(signed, threshold), "candidates")
-    drop_stage(signed)
-    # one text stands for each class; only texts of candidates are fetched
-    ends = found.select(F.explode(F.array("hash_a", "hash_b")).alias("text_hash")).distinct()
-    speakers = members.groupBy("text_hash").agg(F.min(F.struct("key", "raw")).alias("s")).select("text_hash", "s.key", "s.raw").join(ends, "text_hash", "left_semi")
-    spoken = rows.join(speakers, ["key", "raw"]).dropDuplicates(["text_hash"])
-    fetched = found.join(spoken.select(F.col("text_hash").alias("hash_a"), F.col("text").alias("text_a")), "hash_a")
-    fetched = fetched.join(spoken.select(F.col("text_hash").alias("hash_b"), F.col("text").alias("text_b")), "hash_b")
-    pairs = fetched.select("hash_a", "hash_b", "text_a", "text_b").mapInArrow(
-        _verify(width, threshold), "hash_a long, hash_b long, similarity double"
-    )
-    return stage(pairs, "pairs"), members.select("key", "text_hash", "n_words").distinct()
+    with shuffles_released(texts.sparkSession):
+        signed = signatures(rows, width, threshold, min_words, by_sketch=exact)
+        members = stage(signed.select("key", "raw", "text_hash", "n_words").distinct(), "members")
+        found = stage(candidates(signed, threshold), "candidates")
+        drop_stage(signed)
+        # one text stands for each class; only texts of candidates are fetched
+        ends = found.select(F.explode(F.array("hash_a", "hash_b")).alias("text_hash")).distinct()
+        speakers = members.groupBy("text_hash").agg(F.min(F.struct("key", "raw")).alias("s")).select("text_hash", "s.key", "s.raw").join(ends, "text_hash", "left_semi")
+        spoken = rows.join(speakers, ["key", "raw"]).dropDuplicates(["text_hash"])
+        fetched = found.join(spoken.select(F.col("text_hash").alias("hash_a"), F.col("text").alias("text_a")), "hash_a")
+        fetched = fetched.join(spoken.select(F.col("text_hash").alias("hash_b"), F.col("text").alias("text_b")), "hash_b")
+        pairs = fetched.select("hash_a", "hash_b", "text_a", "text_b").mapInArrow(
+            _verify(width, threshold), "hash_a long, hash_b long, similarity double"
+        )
+        near = stage(pairs, "pairs")
+    return near, members.select("key", "text_hash", "n_words").distinct()
 
 
 def near_duplicate_classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
